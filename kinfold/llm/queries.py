@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, htmltext, pii, toxicity, urlfilter
 
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +17,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL filter, and the hosts that it blocks besides.
+ALLOW, BLOCK = {"org/", "com/fr/"}, {"example.org/es/", "example.org/en/1", "com/de/"}
+BLOCKED_HOSTS = {"cheap-pills.example.com", "spam-farm.example.org", "free-bets.example.com", "ads-track.example.org"}
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.extract_text(_table(spark, sf_dir, "pages"), keep=("url",))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), ALLOW, BLOCK, BLOCKED_HOSTS)
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH split AS (
+  SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM split),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+hosts(h) AS (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org'), ('free-bets.example.com'), ('ads-track.example.org')),
+best AS (
+  SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+)
+SELECT page_id, host, path, rule,
+  coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM best
+"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
@@ -25,9 +55,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({joined.format(base)}, 256)").alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
 
 
+def _held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the labelled rows of docs that are not held out."""
+    return toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~_held_out()))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", _held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_pii": op4_pii, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op7_toxicity, op9_bpe)}
