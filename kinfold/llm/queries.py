@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, pii, toxicity, urlfilter
+from . import bpe, htmltext, linededup, pii, toxicity, urlfilter
 
 ORACLES: dict[str, str] = {}
 
@@ -55,6 +55,31 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({joined.format(base)}, 256)").alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.line_dedup(_table(spark, sf_dir, "documents"), min_words=50)
+    return done.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+u AS (SELECT *, row_number() OVER o AS k, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM w WHERE words > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ahead AS (SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 AND b.cum - a.cum + a.words >= 50 GROUP BY ALL),
+back AS (SELECT a.doc_id, max(b.k) AS s, a.k AS e FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 49 AND a.k AND a.cum - b.cum + b.words >= 50 GROUP BY a.doc_id, a.k),
+spans AS (SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back),
+content AS (SELECT x.doc_id, min(u.i) AS first, max(u.i) AS last, string_agg(u.line, chr(10) ORDER BY u.k) AS c FROM spans x JOIN u ON u.doc_id = x.doc_id AND u.k BETWEEN x.s AND x.e GROUP BY x.doc_id, x.s, x.e),
+placed AS (SELECT *, min(struct_pack(d := doc_id, f := first)) OVER (PARTITION BY c) AS p FROM content),
+late AS (SELECT doc_id, first, last FROM placed WHERE struct_pack(d := doc_id, f := first) > p),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(first, last + 1)) AS i FROM late)),
+marked AS (SELECT l.doc_id, l.i, l.line, gone.i IS NOT NULL AS g FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i),
+runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), false) AS start FROM marked)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g) AS n_deleted, count(*) FILTER (WHERE start) AS n_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT g), '')) AS kept_sha256
+FROM runs GROUP BY doc_id
+""".replace("\\\\", "\\")
+
+
 def _held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -75,4 +100,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op7_toxicity, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op7_toxicity, op9_bpe)}
