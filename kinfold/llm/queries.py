@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, linededup, pii, quality, toxicity, urlfilter
+from . import bpe, decontam, htmltext, linededup, pii, quality, toxicity, urlfilter
 
 ORACLES: dict[str, str] = {}
 
@@ -105,4 +105,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op7_toxicity, op8_quality, op9_bpe)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontam.mark_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    listed = "array_join(transform(items, x -> concat(x.item, CASE WHEN x.same THEN '' ELSE '~' END)), ',')"
+    return marked.select("doc_id", F.size("items").cast("long").alias("n_items"), F.expr(listed).alias("items"), (F.size("items") > 0).alias("contaminated"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op7_toxicity, op8_quality, op9_bpe, op10_decontamination)}
