@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, linededup, pii, quality, toxicity, urlfilter
+from . import bpe, decontam, htmltext, linededup, minhash, pii, quality, toxicity, urlfilter
 
 ORACLES: dict[str, str] = {}
 
@@ -80,6 +80,11 @@ FROM runs GROUP BY doc_id
 """.replace("\\\\", "\\")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def _held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -111,4 +116,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.size("items").cast("long").alias("n_items"), F.expr(listed).alias("items"), (F.size("items") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op7_toxicity, op8_quality, op9_bpe, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_quality, op9_bpe, op10_decontamination)}
