@@ -56,7 +56,7 @@ def drop_stash(df: DataFrame) -> None:
 
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's estimate of df's bytes. Only partition and group counts may depend on it, never results."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 60)
 
 

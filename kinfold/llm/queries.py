@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, linededup, minhash, pii, quality, toxicity, urlfilter
+from . import bpe, decontam, htmltext, linededup, minhash, pii, quality, suffixdedup, toxicity, urlfilter
 
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +22,29 @@ ALLOW, BLOCK = {"org/", "com/fr/"}, {"example.org/es/", "example.org/en/1", "com
 BLOCKED_HOSTS = {"cheap-pills.example.com", "spam-farm.example.org", "free-bets.example.com", "ads-track.example.org"}
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=50)
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("n_removed")
+    return done.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op1_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM p),
+late AS (SELECT w.doc_id, w.p FROM w JOIN (SELECT s, min(doc_id) AS m FROM w GROUP BY s) f ON w.s = f.s AND w.doc_id > f.m),
+edge AS (SELECT *, coalesce(p - lag(p) OVER o, 1000) > 50 AS new FROM late WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+number AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+span AS (SELECT doc_id, k, min(p) AS s, max(p) + 50 AS e FROM number GROUP BY ALL),
+gap AS (SELECT doc_id, k, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a, s AS b FROM span
+  UNION ALL SELECT doc_id, max(k) + 1, max(e), 1000000000 FROM span GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(d.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.k) AS h FROM gap g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id),
+total AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN total ON d.doc_id = total.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = htmltext.extract_text(_table(spark, sf_dir, "pages"), keep=("url",))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -116,4 +139,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.size("items").cast("long").alias("n_items"), F.expr(listed).alias("items"), (F.size("items") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_quality, op9_bpe, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_url_filter, op4_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_quality, op9_bpe, op10_decontamination)}
