@@ -10,6 +10,7 @@ from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -62,3 +63,9 @@ def size_estimate(df: DataFrame) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    """df written out and counted; marked for broadcast if it has no more rows than most."""
+    df = stash(df, "few")
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
