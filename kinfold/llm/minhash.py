@@ -7,10 +7,12 @@ With 32 bands of 5, two texts of similarity 0.8 miss all buckets with probabilit
 
 Equal sets are one unit. Of all buckets with the same members one is kept. Links are then sought in rounds, each of
 which costs at most a pair for each unit: first with the least unit of a bucket, then, in buckets that still hold
-several components, with a pivot drawn anew. What is left is matched in full: each unit outside its bucket's
-largest component with all units of other components. Pairs are verified on their whole sets; sizes that rule a
-link out and signatures that disagree in a quarter of their bits (six standard errors below similarity 0.8) are
-skipped. Links are closed to components by star contraction, and the least id names a component.
+several components, with a pivot drawn anew. In these rounds sizes that rule a link out and signatures that disagree
+in a quarter of their bits (six standard errors below similarity 0.8) are skipped. What is left is compared in full:
+each unit outside its bucket's largest component with all units of other components, in blocks of bounded size,
+each of which counts the common shingles of its texts at once and gives one link for a unit and a component, so pairs
+are never emitted. All links are verified on whole sets. They are closed to components by star contraction, and the
+least id names a component.
 
 Buckets, copies and components are aggregated before any shuffle and joined from written tables, so large groups
 are split over tasks. Null and empty texts have empty sets and no links; texts with fewer words than a shingle have
@@ -32,8 +34,10 @@ from .components import components
 
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-#: Rounds with drawn pivots before the rest is matched in full; pairs that are broadcast at most.
-PIVOT_ROUNDS, BROADCAST_PAIRS = 2, 200_000
+#: Rounds with drawn pivots before the rest is compared in full; pairs that are broadcast at most; units of a block.
+PIVOT_ROUNDS, BROADCAST_PAIRS, BLOCK = 2, 200_000, 512
+#: Shingles whose counts are made at once.
+STRIPE = 1 << 14
 #: Bits of a signature that two texts must share: of 160, 144 are expected at similarity 0.8, with a standard error of 3.8.
 LEAST_BITS = 120
 BATCH_BYTES, CHUNK = 2 << 20, 1 << 16
@@ -194,6 +198,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stash(both.mapInArrow(verify, "u long, v long"), "links")
 
 
+def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common shingles of each sets[left[i]] and sets[right[j]]."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # a shingle that only one set has counts for its own size alone
+    column = np.cumsum(shared) - 1
+    keep = shared[number]
+    owner, column = owner[keep], column[number[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), STRIPE):
+        a, b = np.searchsorted(column, [start, start + STRIPE])
+        table = np.zeros((len(sets), STRIPE), np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        total += table[left] @ table[right].T
+    same = left[:, None] == right[None, :]
+    return np.where(same, np.array([len(x) for x in sets])[left][:, None], total).astype(np.int64)
+
+
+def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between components c within each bucket of open_ (bucket, unit, c), in blocks."""
+    counts = open_.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    shape = counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"))
+    rows = open_.join(stash(shape, "shapes"), "bucket")
+    outside = rows.where("c <> main").select("bucket", F.pmod(F.xxhash64("unit"), "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "unit", "c", F.lit(0).alias("role"))
+    every = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(F.xxhash64("unit", F.lit(1)), "nj").cast("int").alias("j"), "unit", "c", F.lit(1).alias("role"))
+    dealt = outside.unionByName(every).join(texts, "unit").select("bucket", "i", "j", "unit", "c", "role", "text")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(part: pa.Table, block: np.ndarray) -> pa.RecordBatch:
+        unit, c, role = (part.column(n).to_numpy() for n in ("unit", "c", "role"))
+        ids, first, number = np.unique(unit, return_index=True, return_inverse=True)
+        hashes, offsets = shingle_sets(part.column("text").take(pa.array(first)).cast(pa.binary()).to_pylist(), size)
+        sets = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        n = np.diff(offsets)
+        x, y = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        common = common_shingles(sets, number[x], number[y])
+        linked = 100 * common >= percent * (n[number[x]][:, None] + n[number[y]][None, :] - common)
+        a, b = np.nonzero(linked & (block[x][:, None] == block[y][None, :]) & (c[x][:, None] != c[y][None, :]))
+        a, b = x[a], y[b]
+        once = np.unique(np.stack([unit[a], c[b]], 1), axis=0, return_index=True)[1] if len(a) else a
+        return pa.RecordBatch.from_arrays([pa.array(unit[a[once]]), pa.array(unit[b[once]])], ["u", "v"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in (*batches, None):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < 2 * BLOCK:
+                    continue
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table.column(n).to_numpy().astype(np.int64) for n in ("bucket", "i", "j")], 1)
+            block = np.cumsum(np.r_[0, np.any(keys[1:] != keys[:-1], axis=1)])
+            whole = table.num_rows if batch is None else int(np.searchsorted(block, block[-1]))  # the last block may go on
+            start = 0
+            while start < whole:
+                end = min(whole, int(np.searchsorted(block, block[min(start + BLOCK, whole - 1)])) if start + BLOCK < whole else whole)
+                if end <= start:  # a block larger than that is taken by itself
+                    end = min(whole, int(np.searchsorted(block, block[start], "right")))
+                yield compare(table.slice(start, end - start), block[start:end])
+                start = end
+            held = table.slice(whole).to_batches() if whole < table.num_rows else []
+
+    return stash(dealt.mapInArrow(scan, "u long, v long"), "links")
+
+
 def _alike(a: str, b: str, percent: int) -> str:
     """SQL: sizes and signature bits of two members leave a link possible."""
     shared = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(3))
@@ -246,11 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = now.alias("m").join(mixed.alias("p"), "bucket").where(F.expr("m.c <> p.pc AND " + _alike("m", "p", percent)))
             pairs = pairs.groupBy(F.col("m.unit").alias("u")).agg(F.min_by("p.unit", F.xxhash64("p.unit", F.lit(turn))).alias("v"))
         else:
-            counts = now.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-            largest = stash(counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main")), "largest")
-            outside = stash(now.join(largest, "bucket").where("c <> main").drop("main"), "outside")
-            pairs = outside.alias("m").join(now.alias("p"), "bucket").where(F.expr("m.c <> p.c AND " + _alike("m", "p", percent)))
-            pairs = pairs.select(F.greatest("m.unit", "p.unit").alias("u"), F.least("m.unit", "p.unit").alias("v"))
+            component = linked(_compared(now.select("bucket", "unit", "c"), texts, size, percent), component)
+            break
         component = linked(_verified(pairs, texts, size, percent), component)
     # several texts under one id make their units one
     shared = named.groupBy("id").agg(F.min("unit").alias("v"), F.max("unit").alias("top")).where("v < top").select("id", "v")
