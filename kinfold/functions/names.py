@@ -113,6 +113,8 @@ def brand_core(name: Column | str) -> Column:
     stripped = F.regexp_extract(core, rf"^([^ ]+(?: [^ ]+)*?)(?: (?:{either}))* (?:{tail})$", 1)
     forms = "|".join(LEGAL_SUFFIXES)
     only_forms = F.regexp_extract(core, rf"^((?:{forms})(?: (?:{forms}))*)(?: (?:{either}))* (?:{tail})$", 1)
+    both = "|".join(w for w in LEGAL_SUFFIXES if w in BUSINESS_WORDS or w in PLACE_WORDS)
+    only_forms = F.regexp_replace(only_forms, rf"(?: (?:{both}))+$", "")
     return F.when(only_forms != "", only_forms).when(stripped == "", core).otherwise(stripped)
 
 

@@ -28,11 +28,11 @@ Relationship struct<StartNode:struct<NodeID:string,NodeIDType:string>,EndNode:st
 
 
 def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
-    """Elements of a large file as rows; Spark splits the file, so none is parsed in one go. Name-space prefixes go."""
+    """Elements of a large file as rows; Spark splits the file, so none is parsed in one go. Names count without their name-space prefix."""
     return spark.read.format("xml").option("rowTag", row).option("ignoreNamespace", "true").schema(schema).load(path)
 
 
-def content_day(spark: SparkSession, path: str, prefix: str = "lei:") -> str | None:
+def content_day(spark: SparkSession, path: str) -> str | None:
     """The day of a file's first ContentDate, read from its header alone."""
     head = spark.read.text(path, wholetext=False).where(F.col("value").contains("ContentDate")).limit(1).select(F.regexp_extract("value", r"ContentDate>\s*([0-9-]{10})", 1)).first()
     return head[0] if head and head[0] else None
@@ -46,9 +46,9 @@ def _address(side: str, prefix: str) -> dict[str, Column]:
     }
 
 
-def lei_entities(spark: SparkSession, path: str, prefix: str = "lei:") -> DataFrame:
+def lei_entities(spark: SparkSession, path: str) -> DataFrame:
     """The LEI register, the newest record of each LEI."""
-    t = _xml(spark, path, f"{prefix}LEIRecord", LEI_RECORD)
+    t = _xml(spark, path, "LEIRecord", LEI_RECORD)
     text = lambda f: blank_to_null(F.col(f))
     aliases = F.filter(F.transform(F.coalesce("Entity.OtherEntityNames.OtherEntityName", F.array().cast("array<string>")), F.trim), lambda n: n.isNotNull() & (n != ""))
     registration = text("Entity.RegistrationAuthority.RegistrationAuthorityEntityID")
@@ -64,9 +64,9 @@ def lei_entities(spark: SparkSession, path: str, prefix: str = "lei:") -> DataFr
     return dedupe_latest(rows.where("lei IS NOT NULL"), ["lei"], by="last_update_date", ties=["legal_name"])
 
 
-def lei_relationships(spark: SparkSession, path: str, prefix: str = "rr:") -> DataFrame:
+def lei_relationships(spark: SparkSession, path: str) -> DataFrame:
     """Relationships with their own period: the first of type RELATIONSHIP_PERIOD, else the first."""
-    t = _xml(spark, path, f"{prefix}RelationshipRecord", RELATIONSHIP_RECORD)
+    t = _xml(spark, path, "RelationshipRecord", RELATIONSHIP_RECORD)
     periods = F.coalesce(F.col("Relationship.RelationshipPeriods.RelationshipPeriod"), F.array().cast("array<struct<StartDate:string,EndDate:string,PeriodType:string>>"))
     own = F.coalesce(F.try_element_at(F.filter(periods, lambda p: p["PeriodType"] == "RELATIONSHIP_PERIOD"), F.lit(1)), F.try_element_at(periods, F.lit(1)))
     return t.select(
@@ -75,8 +75,8 @@ def lei_relationships(spark: SparkSession, path: str, prefix: str = "rr:") -> Da
     )
 
 
-def lei_exceptions(spark: SparkSession, path: str, prefix: str = "repex:") -> DataFrame:
-    t = _xml(spark, path, f"{prefix}Exception", "LEI string, ExceptionCategory string, ExceptionReason array<string>")
+def lei_exceptions(spark: SparkSession, path: str) -> DataFrame:
+    t = _xml(spark, path, "Exception", "LEI string, ExceptionCategory string, ExceptionReason array<string>")
     return t.select(F.col("LEI").alias("lei"), F.col("ExceptionCategory").alias("exception_category"), F.try_element_at("ExceptionReason", F.lit(1)).alias("exception_reason"))
 
 
