@@ -6,8 +6,12 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +24,9 @@ def ship_by_value(module: str | ModuleType) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module] if isinstance(module, str) else module)
 
 
+ship_by_value(__name__)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a folder of our own only where none is set."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
@@ -55,14 +62,27 @@ def drop_stash(df: DataFrame) -> None:
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def size_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of df's bytes. Only partition and group counts may depend on it, never results."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+#: Estimates beyond this are those of sources without statistics, or products of joins.
+LARGEST_ESTIMATE = 1 << 50
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def size_estimate(df: DataFrame, column: str, inflation: int) -> int:
+    """About the bytes of a string or binary column. Only partition and group counts may depend on it, never results.
+
+    Catalyst's estimate of df's stored bytes times inflation, or, where it has none to speak of, a count.
+    """
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stored <= LARGEST_ESTIMATE:
+        return stored * inflation
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each, so that a batch is never unpacked as a whole."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    edges = [0, *edges.tolist(), len(sizes)] if len(sizes) else [0]
+    yield from ((a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b)
 
 
 def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:

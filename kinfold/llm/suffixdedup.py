@@ -126,7 +126,7 @@ def find_runs(texts: Texts, size: int) -> Runs:
 
 
 def multikey_classes(count: int, key: Callable[[int, np.ndarray], np.ndarray], levels: int) -> np.ndarray:
-    """A number for each of count items, equal for items whose keys agree on all levels.
+    """A number below count for each of count items, equal for items whose keys agree on all levels.
 
     Each round sorts, within each tie, by the next key of its items; single items leave.
     """
@@ -144,7 +144,8 @@ def multikey_classes(count: int, key: Callable[[int, np.ndarray], np.ndarray], l
         out[left] = fresh + np.arange(len(left))
         fresh += len(left)
         item, tie = item[~alone], tie[~alone]
-    out[item] = fresh + tie
+    if len(item):
+        out[item] = fresh + np.cumsum(np.r_[0, tie[1:] != tie[:-1]])  # numbers of single items are not taken up
     return out
 
 
@@ -418,8 +419,8 @@ def _sample(rows: DataFrame, size: int, text_bytes: int) -> tuple[np.ndarray, np
     return hi[order], lo[order]
 
 
-def _plan(rows: DataFrame, size: int, stored: int) -> Plan:
-    text_bytes = max(1, stored * INFLATION)
+def _plan(rows: DataFrame, size: int, text_bytes: int) -> Plan:
+    text_bytes = max(1, text_bytes)
     buckets = -(-text_bytes // BUCKET_BYTES)
     hi, lo = _sample(rows, size, text_bytes)
     new = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.zeros(0, np.int64)
@@ -439,7 +440,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not TOKEN + WORD <= min_bytes <= 200:
         raise ValueError("min_bytes must be from 24 to 200")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
-    plan = _plan(rows, min_bytes, size_estimate(docs))
+    plan = _plan(rows, min_bytes, size_estimate(docs, text_col, INFLATION))
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(plan.groups)).cast("int"))
     replies = grouped.groupBy("g").applyInArrow(lambda t: _announce(plan, t), "range int, g int, prints binary")
     replies = replies.groupBy("range").applyInArrow(_reply, "g int, range int, bits binary")

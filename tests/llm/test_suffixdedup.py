@@ -85,6 +85,7 @@ def test_multikey_classes_and_packing():
     rnd = np.random.default_rng(1)
     keys = rnd.integers(0, 3, (200, 4)).astype(np.uint64)
     got = S.multikey_classes(200, lambda level, item: keys[item, level], 4)
+    assert 0 <= got.min() and got.max() < 200
     assert all((got[i] == got[j]) == bool((keys[i] == keys[j]).all()) for i in range(200) for j in range(0, 200, 7))
     arrays = [np.arange(5, dtype=np.uint32), np.zeros(0, np.int64), np.array([1 << 60, 3], np.int64), np.frombuffer(b"abc", np.uint8)]
     for a, b in zip(arrays, S.unpack(S.pack(*arrays)), strict=True):
