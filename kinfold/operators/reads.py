@@ -102,3 +102,37 @@ def cusip_holders(holdings: DataFrame, filers: DataFrame, cusip: str, size: int
     """Filers that hold a security, each by its newest and largest row."""
     rows = first_per_key(holdings.where(F.col("cusip") == cusip), ["cik"], [F.col("period_date").desc_nulls_last(), F.col("value_usd").desc_nulls_last()])
     return rows.select("cik", "cusip", "period_date", "value_usd").join(filers.select("cik", "filer_name", "lei"), "cik", "left").orderBy(F.col("value_usd").desc_nulls_last(), "cik").limit(size)
+
+
+def entity_profile(documents: DataFrame, filers: DataFrame | None = None, funds: DataFrame | None = None, lei: str | None = None) -> DataFrame:
+    """Entities with the summaries of their filings and fund reports; all of them, or one."""
+    out = documents if lei is None else documents.where(F.col("entity_id") == lei)
+    for side, key, name in ((filers, "lei", "filings"), (funds, "series_lei", "fund")):
+        if side is not None:
+            nested = side.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("entity_id")).agg(F.sort_array(F.collect_list(F.to_json(F.struct(*side.columns)))).alias(name))
+            out = out.join(nested, "entity_id", "left")
+    return out
+
+
+def search_entities(text: str, kind: str, register: DataFrame, holdings: DataFrame | None = None, filers: DataFrame | None = None, country: str | None = None, size: int = 10) -> DataFrame:
+    """Entities by LEI, by a security they hold, or by name."""
+    from .matching import build_index, build_queries, search
+
+    if kind == "lei":
+        return register.where(F.col("lei") == text.strip().upper()).select("lei", "legal_name", "jurisdiction")
+    if kind == "cusip":
+        return cusip_holders(holdings, filers, text.strip().upper(), size)
+    if kind != "name":
+        raise ValueError(f"kind is lei, cusip or name, not {kind}")
+    spark = register.sparkSession
+    asked = build_queries(spark.createDataFrame([("q", text, country)], "query_id string, name string, country string"), "name", "country")
+    return search(asked, register, build_index(register), size).select("lei", "legal_name", "jurisdiction", "retrieval_score", "retrieval_rank").orderBy("retrieval_rank")
+
+
+def record_review(reviews: DataFrame, node_id: str, lei: str, outcome: str, reviewer: str, reviewed_at: str, rationale: str | None = None) -> DataFrame:
+    """reviews and a new one at the end."""
+    if outcome.upper() not in ("CONFIRMED", "REJECTED", "UNSURE"):
+        raise ValueError(f"no such outcome: {outcome}")
+    line = (reviews.agg(F.max("line_no")).first()[0] or 1) + 1
+    row = reviews.sparkSession.createDataFrame([(node_id, lei, outcome.upper(), reviewer, reviewed_at, rationale, line)], "node_id string, lei string, outcome string, reviewer string, reviewed_at string, rationale string, line_no int")
+    return reviews.unionByName(row)
