@@ -143,3 +143,23 @@ def validate_exceptions(t: DataFrame, entities: DataFrame) -> DataFrame:
 def validate_isins(t: DataFrame, entities: DataFrame) -> DataFrame:
     bad = t.agg(_count(~is_isin("isin")).alias("malformed_isin"))
     return coverage_of(t, "lei", entities, "lei").crossJoin(bad)
+
+
+def run_benchmark(pairs: DataFrame, register: DataFrame, cfg=None, country_mode: str = "soft") -> DataFrame:
+    """The matcher's answers to evaluation pairs, as rows for metrics and failure_breakdown; one plan for all pairs."""
+    from kinfold.config import Matching
+    from kinfold.functions.columns import descending, nested_list
+
+    from . import matching
+
+    cfg = cfg or Matching()
+    asked = matching.build_queries(pairs, "query_name", "query_country", key="pair_id")
+    found = matching.search(asked, register, matching.build_index(register), cfg.candidate_pool_size, country_mode).join(asked, "query_id")
+    scored = matching.score(found, cfg)
+    ranked = scored.groupBy("query_id").agg(nested_list([*descending("score"), F.col("retrieval_rank")], F.col("lei")).alias("ranked"))
+    decided = matching.decide(scored, cfg).select("query_id", "decision", F.col("lei").alias("chosen"))
+    out = pairs.withColumnRenamed("pair_id", "query_id").join(ranked, "query_id", "left").join(decided, "query_id", "left")
+    return out.select(
+        F.col("query_id").alias("pair_id"), F.col("expected_lei").alias("expected"), F.col("confusable_lei").alias("confusable"), "case_type", "difficulty", "conflict_type",
+        F.coalesce("ranked", F.array().cast("array<string>")).alias("ranked"), F.coalesce("decision", F.lit("UNMATCHED")).alias("decision"), "chosen",
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.config import Benchmark, Matching, ScaleCheck, Serving
@@ -47,8 +47,8 @@ def latest_month_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     parts = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "month", "l_partkey").agg(F.sum("l_extendedprice").alias("value"), F.count("*").alias("n"))
-    newest = relational.union_by_name([parts.groupBy("o_custkey").agg(F.max("month").alias("month"))])
-    parts = parts.join(newest, ["o_custkey", "month"]).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    parts = parts.withColumn("newest", F.max("month").over(Window.partitionBy("o_custkey"))).where("month = newest")
+    parts = parts.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     totals = parts.groupBy("o_custkey", "month").agg(F.count("*").alias("n_parts"), F.sum("n").alias("n_lines"))
     top = relational.top_per_key(parts, ["o_custkey"], [F.round("value", 2).desc(), F.col("l_partkey")], Serving().top_holdings, "rank")
     top = top.groupBy("o_custkey").agg(nested_list([F.col("rank")], F.struct("p_name", "value", "l_partkey")).alias("top"))
@@ -408,6 +408,14 @@ def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evaluation_pairs(evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"]), evaluation.confusable_pairs(entries), Benchmark(sample_size=100))
 
 
+@query()
+def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = register(spark, sf_dir)
+    found = evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"])
+    pairs = evaluation.evaluation_pairs(found, evaluation.confusable_pairs(entries), Benchmark(sample_size=100))
+    return evaluation.metrics(evaluation.run_benchmark(pairs, entries), ["case_type"])
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(nested_list([F.col("l_linenumber")], F.col("l_partkey")).alias("ranked"))
     return lines.selectExpr("l_orderkey", "ranked", "l_orderkey % 3 AS slice", "CASE WHEN l_orderkey % 5 = 0 THEN -1L ELSE ranked[int(l_orderkey % size(ranked))] END AS expected", "CASE l_orderkey % 4 WHEN 0 THEN 'UNMATCHED' WHEN 1 THEN 'REVIEW' ELSE 'AUTO_MATCH' END AS decision", "CASE WHEN l_orderkey % 4 <> 0 THEN ranked[0] END AS chosen")

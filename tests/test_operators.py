@@ -240,6 +240,14 @@ def test_categories_partition_and_rates(spark):
     assert evaluation.metrics(rows.where("decision <> 'AUTO_MATCH'")).first()["auto_precision"] is None
 
 
+def test_benchmark_run(spark):
+    register = make_register(spark, [(f"L{i}", n, "GB", "GB") for i, n in enumerate(["North Rock Capital LLP", "Alpha Beta Fund II", "Alpha Beta Fund III", "Gamma Holdings"])])
+    pairs = frame(spark, [("p1", "North Rock Capital LLP", "GB", "L0", None, "isin_confirmed", "easy", None), ("p2", "alpha beta fund", "GB", "L1", "L2", "confusable_pair", "hard", "fund_number"), ("p3", "Omega", None, "L9", None, "isin_confirmed", "easy", None)], "pair_id string, query_name string, query_country string, expected_lei string, confusable_lei string, case_type string, difficulty string, conflict_type string")
+    rows = {r["pair_id"]: r for r in evaluation.run_benchmark(pairs, register).collect()}
+    assert rows["p1"]["decision"] == "AUTO_MATCH" and rows["p1"]["chosen"] == "L0" == rows["p1"]["ranked"][0]
+    assert rows["p2"]["decision"] == "UNMATCHED" and set(rows["p2"]["ranked"]) == {"L1", "L2"} and rows["p3"]["ranked"] == []
+
+
 # --- publication ---
 
 
