@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship_by_value
+from .common import ship_by_value, text_slices
 
-#: Texts of a batch, in characters; and words the cache may hold.
-BATCH_CHARS, CACHE_WORDS = 2 << 20, 400_000
+#: Bytes of text encoded at once, and words the cache may hold.
+BATCH_BYTES, CACHE_WORDS = 1 << 19, 150_000
 #: The vocabulary's own word pattern, its classes left open, and its white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -183,13 +183,8 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            sizes = pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False)
-            parts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_CHARS)) + 1, len(sizes)] if len(sizes) else [0]
-            for a, b in zip(parts[:-1], parts[1:], strict=True):
-                if a == b:
-                    continue
-                ids, offsets, decoded = encoder.encode(texts.slice(a, b - a).to_pylist())
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                ids, offsets, decoded = encoder.encode(batch.column(1).slice(a, b - a).fill_null("").to_pylist())
                 binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary, pa.array(np.diff(offsets), pa.int64()), pa.array(decoded, pa.string())], ["id", "ids", "n_tokens", "decoded"])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stash
+from .common import ship_by_value, stash, text_slices
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -37,10 +37,10 @@ COORDINATES = BANDS * ROWS
 #: Rounds with drawn pivots before the rest is compared in full; pairs that are broadcast at most; units of a block.
 PIVOT_ROUNDS, BROADCAST_PAIRS, BLOCK = 2, 200_000, 512
 #: Shingles whose counts are made at once.
-STRIPE = 1 << 14
+STRIPE = 1 << 12
 #: Bits of a signature that two texts must share: of 160, 144 are expected at similarity 0.8, with a standard error of 3.8.
 LEAST_BITS = 120
-BATCH_BYTES, CHUNK = 2 << 20, 1 << 16
+BATCH_BYTES, CHUNK = 1 << 19, 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _random = np.random.default_rng(20240607)
@@ -140,24 +140,14 @@ def _set_ids(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Slices of a string column of about BATCH_BYTES."""
-    texts = column.fill_null("").cast(pa.binary()).to_pylist()
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_BYTES or i + 1 == len(texts):
-            yield start, i + 1, texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """id, n, unit, check (hashes of the set), bands, and bits b0, b1, b2."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _parts(batch.column(1)):
-                hashes, offsets = shingle_sets(texts, size)
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                texts = batch.column(1).slice(a, b - a).fill_null("").cast(pa.binary())
+                hashes, offsets = shingle_sets(texts.to_pylist(), size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
                 signature = signatures(hashes, np.r_[offsets[:-1][full], offsets[-1]]) if len(full) else np.zeros((0, COORDINATES), np.uint32)
@@ -183,8 +173,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 sets = []
                 for c in (2, 3):
                     hashes, offsets = shingle_sets(part.column(c).cast(pa.binary()).to_pylist(), size)

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value
+from .common import ship_by_value, text_slices
 
 SIZES, BITS = (3, 4, 5, 6), 20
 BUCKETS = 1 << BITS
-#: Texts of a batch, in characters.
-BATCH_CHARS = 1 << 20
+#: Texts of a batch, in characters or bytes.
+BATCH_CHARS = 1 << 18
 #: Additive smoothing of counts; least number of texts with a feature; least ratio in standard errors; L2 penalty.
 SMOOTH, LEAST_TEXTS, LEAST_Z, PENALTY, STEPS = 1.0, 4, 4.0, 0.001, 300
 
@@ -167,8 +167,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
         model = shared.value
         wanted = model.weights != 0
         for batch in batches:
-            scores = score(model, batch.column(at).fill_null("").to_pylist(), wanted)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score_col])
+            texts = batch.column(at)
+            scores = [score(model, texts.slice(a, b - a).fill_null("").to_pylist(), wanted) for a, b in text_slices(texts, BATCH_CHARS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(rate, f"{schema}, `{score_col}` double")
 

@@ -38,7 +38,7 @@ def test_equals_the_library(library):
 
 
 def test_table(spark, clash, library, sf_dir, monkeypatch):
-    monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 50)
     df = clash(spark.createDataFrame([(i, t) for i, t in enumerate([None, *texts()[:60]])] + [(None, "x")], "doc_id long, text string"))
     rows = bpe.bpe(df, PATH).collect()
     assert len(rows) == 62
