@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, decontam, linededup, minhash, queries, toxicity
-from kinfold.llm.common import broadcast_if_few, stash
+from kinfold.llm.common import broadcast_if_few, drop_stash, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: So many dropped ids at most are broadcast.
@@ -68,6 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = stash(stage(spark, docs, sf_dir), name)
+        if i:
+            drop_stash(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

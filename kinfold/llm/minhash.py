@@ -164,6 +164,19 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, n long, unit long, check long, bands array<long>, b0 long, b1 long, b2 long")
 
 
+def _of_unit(texts: DataFrame, size: int) -> DataFrame:
+    """Those (unit, text) whose text has the unit's set; an id with several texts brings others along."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                unit, _ = _set_ids(*shingle_sets(part.column(1).fill_null("").cast(pa.binary()).to_pylist(), size))
+                yield part.filter(pa.array(unit == part.column(0).to_numpy()))
+
+    return texts.mapInArrow(keep, "unit long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those (u, v) whose sets have 100 * intersection >= percent * union."""
     pairs = stash(pairs.distinct(), "pairs")
@@ -281,7 +294,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     used = members.select("unit").distinct()
     members = stash(members.join(units.select("unit", "n", "b0", "b1", "b2"), "unit"), "members")
     held = units.join(used, "unit", "left_semi").select("unit", "rep")
-    texts = stash(rows.join(held, rows["id"] == held["rep"]).select("unit", "text").dropDuplicates(["unit"]), "texts")
+    shared = named.groupBy("id").agg(F.min("unit").alias("v"), F.max("unit").alias("top")).where("v < top").select("id", "v")
+    shared = stash(named.join(shared, "id").select(F.col("unit").alias("u"), "v"), "shared")
+    several = not shared.isEmpty()
+    texts = rows.join(held, rows["id"] == held["rep"]).select("unit", "text")
+    texts = stash((_of_unit(texts, size) if several else texts).dropDuplicates(["unit"]), "texts")
 
     def linked(found: DataFrame, component: DataFrame | None) -> DataFrame:
         """Components (node, component) after the links found, given those before."""
@@ -313,10 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             component = linked(_compared(now.select("bucket", "unit", "c"), texts, size, percent), component)
             break
         component = linked(_verified(pairs, texts, size, percent), component)
-    # several texts under one id make their units one
-    shared = named.groupBy("id").agg(F.min("unit").alias("v"), F.max("unit").alias("top")).where("v < top").select("id", "v")
-    shared = stash(named.join(shared, "id").select(F.col("unit").alias("u"), "v"), "shared")
-    if not shared.isEmpty():
+    if several:  # texts under one id make their units one
         component = linked(shared, component)
     owner = units.select("unit", "check", "rep").join(component.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     least = stash(owner.groupBy("component").agg(F.min("rep").alias("first_id")), "first-ids")

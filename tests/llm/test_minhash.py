@@ -55,6 +55,14 @@ def test_equals_brute_force(spark, clash, size, edits):
     assert collections.Counter(map(tuple, M.near_duplicates(df, size=size).collect())) == brute(docs, size)
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    docs = [(1, a), (1, b), (2, near(b)), (3, near(a)), (4, c), (5, near(c)), (5, "x y z w v")]
+    got = collections.Counter(map(tuple, M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == brute(docs, 5)
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
