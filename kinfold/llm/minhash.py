@@ -10,8 +10,8 @@ which costs at most a pair for each unit: first with the least unit of a bucket,
 several components, with a pivot drawn anew. In these rounds sizes that rule a link out and signatures that disagree
 in a quarter of their bits (six standard errors below similarity 0.8) are skipped. What is left is compared in full:
 each unit outside its bucket's largest component with all units of other components, in blocks of bounded size,
-each of which counts the common shingles of its texts at once and gives one link for a unit and a component, so pairs
-are never emitted. All links are verified on whole sets. They are closed to components by star contraction, and the
+each of which counts the common shingles of its texts at once and gives a spanning forest of its links, so no more
+links than texts are emitted. All links are verified on whole sets. They are closed to components by star contraction, and the
 least id names a component.
 
 Buckets, copies and components are aggregated before any shuffle and joined from written tables, so large groups
@@ -221,6 +221,24 @@ def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return np.where(same, np.array([len(x) for x in sets])[left][:, None], total).astype(np.int64)
 
 
+def spanning(left: list[int], right: list[int], links: np.ndarray) -> np.ndarray:
+    """Of the links between components, those of a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    keep = []
+    for link, x, y in zip(links.tolist(), left, right, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(link)
+    return np.array(keep, np.int64)
+
+
 def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (u, v) between components c within each bucket of open_ (bucket, unit, c), in blocks."""
     counts = open_.groupBy("bucket", "c").agg(F.count("*").alias("k"))
@@ -243,7 +261,8 @@ def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         linked = 100 * common >= percent * (n[number[x]][:, None] + n[number[y]][None, :] - common)
         a, b = np.nonzero(linked & (block[x][:, None] == block[y][None, :]) & (c[x][:, None] != c[y][None, :]))
         a, b = x[a], y[b]
-        once = np.unique(np.stack([unit[a], c[b]], 1), axis=0, return_index=True)[1] if len(a) else a
+        once = np.unique(np.stack([c[a], c[b]], 1), axis=0, return_index=True)[1] if len(a) else a
+        once = spanning(c[a[once]].tolist(), c[b[once]].tolist(), once)
         return pa.RecordBatch.from_arrays([pa.array(unit[a[once]]), pa.array(unit[b[once]])], ["u", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
