@@ -8,6 +8,12 @@ in it, where a window with placeholders counts only if its slots are consistent:
 for one and the same value of the document, the one that most of the matching windows agree on (ties: the least).
 So a copy with other numbers or names is found, while a text that merely shares phrases is not.
 
+All occurrences of a window count, not just its first: a document may repeat parts of an item, or hold it several
+times with other values. So values are agreed on, and windows counted, in several scopes, and the best one decides:
+the occurrences at one and the same distance from their places in the item, which are those of one unbroken copy;
+those at nearly the same distance, for copies with insertions; those with the item's own values; the first of each
+window; and all. Each occurrence is in six scopes at most, so work is linear in the text.
+
 Candidates come from a hash join of document windows with so many of each item's rarest windows that 80 % cannot be
 reached without one of them; only candidates are matched in full. Item windows are broadcast if they are counted to
 be few, else joined by shuffle; matches are reduced by document before that. Nothing grows with pairs of documents.
@@ -61,6 +67,12 @@ def _slots(raw: str) -> str:
     return f"flatten(transform(slice({raw}, i + 1, {SIZE}), x -> regexp_extract_all(x, '[\\u0001-\\u0003][^\\u0005]*', 0)))"
 
 
+#: Scopes of an occurrence: all, the item's own values, the first of its window, the same distance, nearly the same.
+STEP = "bigint(floor(apart / ceil(length / 2)))"
+SCOPES = (
+    "filter(array(struct(0 AS kind, 0L AS place), CASE WHEN forall(pairs, p -> p.item_slots = p.slots) THEN struct(1 AS kind, 0L AS place) END, CASE WHEN first THEN struct(2 AS kind, 0L AS place) END, "
+    f"struct(3 AS kind, apart AS place), struct(4 AS kind, {STEP} AS place), struct(4 AS kind, {STEP} + 1 AS place)), s -> s IS NOT NULL)"
+)
 CANONICAL = "regexp_replace({}, '([\\u0001-\\u0003])[^\\u0005]*\\u0005', '$1')"
 
 
@@ -73,14 +85,14 @@ def _prepared(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _placed(rows: DataFrame, *keys: str, skip_first: bool = False) -> DataFrame:
-    """keys, window hash and the slots of its first occurrence; without the first window, if skip_first and there are others."""
+    """keys, window hash, place and slots of each occurrence; without the first window, if skip_first and there are others."""
     literals = f"size(filter(slice(tokens, i + 1, {SIZE}), x -> NOT x RLIKE '[\\u0001-\\u0003]')) >= {LEAST_LITERALS}"
     each = f"transform(hashes, (h, i) -> struct(h AS window, i AS at, {_slots('raw')} AS slots, {literals} AS literal, size(hashes) = 1 AS alone))"
     rows = rows.select(*keys, "raw", "tokens", F.expr(_windows("tokens")).alias("hashes"))
     rows = rows.select(*keys, F.explode(F.expr(each)).alias("w")).select(*keys, "w.*").where("literal")
     if skip_first:
         rows = rows.where("at > 0 OR alone")
-    return rows.groupBy(*keys, "window").agg(F.min_by("slots", "at").alias("slots"))
+    return rows.select(*keys, "window", "at", "slots")
 
 
 def _few(df: DataFrame, count: int) -> DataFrame:
@@ -90,10 +102,10 @@ def _few(df: DataFrame, count: int) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, text_hash, item, share, same): items held by documents; same if all their slots have the item's own values."""
     items = benchmark.select(benchmark[item_col].alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
-    items = _placed(_prepared(items, "item"), "item", skip_first=True)
+    items = _placed(_prepared(items, "item"), "item", skip_first=True).groupBy("item", "window").agg(F.min_by("slots", "at").alias("slots"), F.min("at").alias("at"))
     rarity = F.count("*").over(Window.partitionBy("window"))
     order = Window.partitionBy("item").orderBy("rarity", "window")
-    items = items.withColumn("rarity", rarity).select("item", "window", F.col("slots").alias("item_slots"), F.count("*").over(Window.partitionBy("item")).alias("size"), F.row_number().over(order).alias("rank"))
+    items = items.withColumn("rarity", rarity).select("item", "window", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"), F.count("*").over(Window.partitionBy("item")).alias("size"), F.expr("max(at) OVER (PARTITION BY item) - min(at) OVER (PARTITION BY item) + 1").alias("length"), F.row_number().over(order).alias("rank"))
     items = stash(items, "item-windows")
     count = items.count()
     # of size windows, any floor(0.2 * size) + 1 include one that a text with 80 % of them holds
@@ -106,17 +118,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     same_row = rows["id"].eqNullSafe(wanted["c_id"]) & (rows["text_hash"] == wanted["c_hash"])
     texts = rows.join(wanted, same_row, "left_semi").dropDuplicates(["id", "text_hash"])
     windows = _placed(_prepared(texts, "id", "text_hash"), "id", "text_hash")
-    held = windows.join(_few(items, count), "window").withColumn("pairs", F.expr("arrays_zip(item_slots, slots)"))
-    held = stash(held.select("id", "text_hash", "item", "size", "window", "pairs"), "held-windows")
+    windows = windows.withColumn("first", F.col("at") == F.min("at").over(Window.partitionBy("id", "text_hash", "window")))
+    held = windows.join(_few(items, count), "window").withColumns({"pairs": F.expr("arrays_zip(item_slots, slots)"), "apart": F.expr("bigint(at - item_at)")})
+    held = held.select("id", "text_hash", "item", "size", "window", "pairs", F.explode(F.expr(SCOPES)).alias("scope")).distinct()
+    held = stash(held, "held-windows")
     key = ["id", "text_hash", "item"]
-    votes = held.select(*key, F.explode("pairs").alias("p")).select(*key, F.col("p.item_slots").alias("own"), F.col("p.slots").alias("other"))
-    votes = votes.groupBy(*key, "own", "other").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy(*key, "own").agg(F.max_by("other", F.struct("n", F.expr("- xxhash64(other)"))).alias("other"))
-    mapping = chosen.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("own", "other"))).alias("mapping")).select(*[F.col(k).alias(f"m_{k}") for k in key], "mapping")
-    on = held["id"].eqNullSafe(mapping["m_id"]) & (held["text_hash"] == mapping["m_text_hash"]) & (held["item"] == mapping["m_item"])
+    votes = held.select(*key, "scope", F.explode("pairs").alias("p")).select(*key, "scope", F.col("p.item_slots").alias("own"), F.col("p.slots").alias("other"))
+    votes = votes.groupBy(*key, "scope", "own", "other").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*key, "scope", "own").agg(F.max_by("other", F.struct("n", F.expr("- xxhash64(other)"))).alias("other"))
+    mapping = chosen.groupBy(*key, "scope").agg(F.map_from_entries(F.collect_list(F.struct("own", "other"))).alias("mapping")).select(*[F.col(k).alias(f"m_{k}") for k in [*key, "scope"]], "mapping")
+    on = held["id"].eqNullSafe(mapping["m_id"]) & (held["text_hash"] == mapping["m_text_hash"]) & (held["item"] == mapping["m_item"]) & (held["scope"] == mapping["m_scope"])
     held = held.join(mapping, on, "left").where("forall(pairs, p -> mapping[p.item_slots] = p.slots)")
-    whole = held.groupBy(*key).agg(F.max("size").alias("size"), F.count("*").alias("n"), F.bool_and(F.expr("forall(pairs, p -> p.item_slots = p.slots)")).alias("same"))
-    return whole.where(F.col("n") >= LEAST_SHARE * F.col("size") - 1e-9).select(*key, (F.col("n") / F.col("size")).alias("share"), "same")
+    whole = held.groupBy(*key, "scope").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.bool_and(F.expr("forall(pairs, p -> p.item_slots = p.slots)")).alias("same"))
+    whole = whole.where(F.col("n") >= LEAST_SHARE * F.col("size") - 1e-9).withColumn("share", F.col("n") / F.col("size"))
+    return whole.groupBy(*key).agg(F.max(F.struct("share", "same")).alias("best")).select(*key, "best.share", "best.same")
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -74,3 +74,17 @@ def test_shuffled_windows_and_empty_tables(spark, monkeypatch):
 def test_plan_is_native(spark):
     df = D.mark_contaminated(spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "MapInArrow", "Cartesian", "NestedLoop"))
+
+
+SHOP = "a baker fills 20 trays with rolls every morning and sells 15 of them before noon while Clara bakes 20 more every day, how many trays are left after 6 days"
+OTHER = SHOP.replace("20", "30").replace("Clara", "Petra").replace("15", "40")
+
+
+def test_item_after_parts_and_variants_of_it(spark):
+    third = SHOP.replace("20", "77").replace("15", "11").replace("Clara", "Olga")
+    opening = OTHER[: OTHER.index(" before noon")]
+    docs = [(1, f"{opening}. {SHOP}"), (2, f"{OTHER}. {SHOP}. {third}"), (3, f"{opening}. {third}"), (4, f"{opening}. {opening}. {opening}"), (5, " ".join([OTHER, opening, third, opening] * 5 + [SHOP])), (6, SHOP.replace("20 more", "21 more").replace("20 trays", "22 trays") + ". " + opening), (7, f"{opening}, {SHOP.replace('while', 'while on the other hand')}")]
+    rows = D.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, SHOP)], "item_id long, text string")).collect()
+    held = {r["doc_id"]: [(x["share"], x["same"]) for x in r["items"]] for r in rows}
+    assert held[1] == held[2] == held[5] == [(1.0, True)] and held[3] == [(1.0, False)] and held[4] == []
+    assert [x[1] for x in held[7]] == [True]
