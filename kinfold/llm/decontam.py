@@ -18,7 +18,12 @@ Candidates come from a hash join of document windows with so many of each item's
 reached without one of them; only candidates are matched in full. Item windows are broadcast if they are counted to
 be few, else joined by shuffle; matches are reduced by document before that. Nothing grows with pairs of documents.
 
-Null text counts as empty. Documents and items of fewer than five tokens match nothing. Rows of equal id and text
+Items without any template (fewer than five tokens, or no window with two literals) are matched as a whole, with
+their exact values: a document holds such an item if the item's words, numbers and signs occur in it one after the
+other, whatever their case, white space and other punctuation. Characters of scripts without spaces are words of
+their own. There is no least length: an item of one word is held by every document with that word.
+
+Null text counts as empty. Items without words, numbers and signs match nothing. Rows of equal id and text
 count as one document and get equal results; a null id is an id. An empty benchmark leaves all documents clean.
 """
 
@@ -95,6 +100,33 @@ def _placed(rows: DataFrame, *keys: str, skip_first: bool = False) -> DataFrame:
     return rows.select(*keys, "window", "at", "slots")
 
 
+#: What an item without a template is compared by: characters of scripts without spaces, numbers, words, signs.
+PIECE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+|\p{N}++(?:[.,]\p{N}++)*+|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])[\p{L}\p{M}])++|[\p{Sm}\p{Sc}*/^%\u2010-\u2015-]"
+PIECES = f"regexp_extract_all(lower(text), {_text(PIECE)}, 0)"
+
+
+def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, text_hash, item, share, same) of items (item, text, pieces) that rows (id, text_hash, text) hold as a whole.
+
+    Documents meet items by the hash of an item's first pieces, five at most; then the whole sequence is sought.
+    """
+    items = items.withColumn("n", F.least(F.lit(SIZE), F.size("pieces"))).withColumn("probe", F.expr("xxhash64(n, slice(pieces, 1, n))"))
+    items = stash(items.select("item", "n", "probe", F.expr("concat(' ', array_join(pieces, ' '), ' ')").alias("whole")), "whole-items")
+    count = items.count()
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # five rows at most
+    if not sizes:
+        return rows.select("id", "text_hash", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(1.0).alias("share"), F.lit(True).alias("same")).where("false")
+    pieces = rows.select("id", "text_hash", F.expr(PIECES).alias("pieces"))
+    starts = ", ".join(f"CASE WHEN size(pieces) >= {n} THEN transform(sequence(0, size(pieces) - {n}), i -> xxhash64({n}, slice(pieces, i + 1, {n}))) ELSE array() END" for n in sizes)
+    probes = pieces.select("id", "text_hash", F.explode(F.array_distinct(F.expr(f"flatten(array({starts}))"))).alias("probe"))
+    found = stash(probes.join(_few(items.select("probe", "item", "whole"), count), "probe").select("id", "text_hash", "item", "whole").distinct(), "whole-candidates")
+    found = found.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item", "whole")
+    texts = rows.join(found.select("c_id", "c_hash").distinct(), rows["id"].eqNullSafe(F.col("c_id")) & (rows["text_hash"] == F.col("c_hash")), "left_semi").dropDuplicates(["id", "text_hash"])
+    texts = texts.select("id", "text_hash", F.expr(f"concat(' ', array_join({PIECES}, ' '), ' ')").alias("pieces"))
+    held = texts.join(found, texts["id"].eqNullSafe(found["c_id"]) & (texts["text_hash"] == found["c_hash"])).where("instr(pieces, whole) > 0")
+    return held.select("id", "text_hash", "item", F.lit(1.0).alias("share"), F.lit(True).alias("same")).distinct()
+
+
 def _few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_WINDOWS else df
 
@@ -102,12 +134,16 @@ def _few(df: DataFrame, count: int) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, text_hash, item, share, same): items held by documents; same if all their slots have the item's own values."""
     items = benchmark.select(benchmark[item_col].alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
+    given = items
     items = _placed(_prepared(items, "item"), "item", skip_first=True).groupBy("item", "window").agg(F.min_by("slots", "at").alias("slots"), F.min("at").alias("at"))
     rarity = F.count("*").over(Window.partitionBy("window"))
     order = Window.partitionBy("item").orderBy("rarity", "window")
     items = items.withColumn("rarity", rarity).select("item", "window", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"), F.count("*").over(Window.partitionBy("item")).alias("size"), F.expr("max(at) OVER (PARTITION BY item) - min(at) OVER (PARTITION BY item) + 1").alias("length"), F.row_number().over(order).alias("rank"))
     items = stash(items, "item-windows")
     count = items.count()
+    # a row of given, as one id may have several texts; the template of an id is that of all its texts
+    plain = given.join(items.select(F.col("item").alias("t_item")).distinct(), given["item"].eqNullSafe(F.col("t_item")), "left_anti")
+    plain = plain.select("item", F.expr(PIECES).alias("pieces")).where("size(pieces) > 0")
     # of size windows, any floor(0.2 * size) + 1 include one that a text with 80 % of them holds
     probes = items.where(F.col("rank") <= F.floor((1 - LEAST_SHARE) * F.col("size") + 1e-9) + 1).select("window", "item")
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -131,7 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     held = held.join(mapping, on, "left").where("forall(pairs, p -> mapping[p.item_slots] = p.slots)")
     whole = held.groupBy(*key, "scope").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.bool_and(F.expr("forall(pairs, p -> p.item_slots = p.slots)")).alias("same"))
     whole = whole.where(F.col("n") >= LEAST_SHARE * F.col("size") - 1e-9).withColumn("share", F.col("n") / F.col("size"))
-    return whole.groupBy(*key).agg(F.max(F.struct("share", "same")).alias("best")).select(*key, "best.share", "best.same")
+    return whole.groupBy(*key).agg(F.max(F.struct("share", "same")).alias("best")).select(*key, "best.share", "best.same").unionByName(_whole(rows, plain))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:

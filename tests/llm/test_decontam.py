@@ -88,3 +88,12 @@ def test_item_after_parts_and_variants_of_it(spark):
     held = {r["doc_id"]: [(x["share"], x["same"]) for x in r["items"]] for r in rows}
     assert held[1] == held[2] == held[5] == [(1.0, True)] and held[3] == [(1.0, False)] and held[4] == []
     assert [x[1] for x in held[7]] == [True]
+
+
+def test_items_without_template_are_matched_as_a_whole(spark):
+    items = [(1, "What is 12 + 7?"), (2, "3 4 5 6 7 8 9 10"), (3, "Say Anna, Bruno, Clara, Doris, Emil, Franz"), (4, "小明有三个苹果"), (5, "one two"), (6, "!!"), (7, None), (None, "so so")]
+    docs = [(1, "Quiz: what is 12 +  7? Nineteen"), (2, "What is 12 - 7? What is 13 + 7? What is 12 + 75?"), (3, "1 2 3 4 5 6 7 8 9 10 11"), (4, "3 4 5 6 7 8 9 11"), (5, "Then say Anna, Bruno, Clara, Doris, Emil, Franz!"), (6, "题目：小明有三个苹果。"), (7, "小明有四个苹果"), (8, "someone two, one twofold"), (9, "One\ntwo"), (10, None), (None, "one two"), (11, "so, so")]
+    rows = D.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    held = {r["doc_id"]: [(x["item"], x["share"], x["same"]) for x in r["items"]] for r in rows}
+    expected = {1: 1, 3: 2, 5: 3, 6: 4, 9: 5, None: 5, 11: None}
+    assert held == {d: [(expected[d], 1.0, True)] if d in expected else [] for d, _ in docs}
