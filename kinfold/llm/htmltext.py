@@ -3,9 +3,9 @@
 The standard library's parser turns a page into lines, one for each block element. A line's ratio is its number of
 characters outside links over its number of tags; lines within menus, footers, sidebars, adverts, forms, comments
 and the like (by element, role or class) get 0. The ratios are smoothed by a Gaussian; lines above the smoothed
-ratios' standard deviation form the content cluster. The content region is the innermost element that holds most of
-the cluster's text (an article or main element, if one does); every line of the region outside such furniture is
-kept, short ones too, as a threshold alone would lose headings and one-word paragraphs.
+ratios' standard deviation form the content cluster. The content region is the innermost element that holds the whole
+cluster (an article or main element, if one does); every line of the region outside such furniture is kept, short
+ones too, as a threshold alone would lose headings and one-word paragraphs.
 
 Null or empty html has an empty text. Memory is bounded by one page. Repeated rows give repeated results; extra
 columns are ignored.
@@ -39,8 +39,6 @@ MARKS = re.compile(
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SIGMA, RADIUS = 1.0, 3
-#: Share of the cluster's text that the content region holds at least.
-MOST = 0.7
 
 
 class Line:
@@ -183,8 +181,7 @@ def main_text(html: str | None) -> str:
         if take:
             for number in line.path:
                 weight[number] = weight.get(number, 0.0) + mass
-    need = MOST * weight[0]
-    holders = [n for n, w in weight.items() if w >= need]
+    holders = [n for n, w in weight.items() if w == weight[0]]  # sums of whole numbers
     marked = [n for n in holders if parser.kinds[n] in ("article", "main")]
     depth = {n: line.path.index(n) for line, _ in lines for n in line.path if n in weight}
     # a paragraph alone is no region: its neighbours belong to it

@@ -32,3 +32,14 @@ def test_table(spark, clash, sf_dir):
     assert extract_text(df.limit(0)).count() == 0
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert extract_text(pages).where("text = ''").count() == 0
+
+
+@pytest.mark.parametrize("html", [
+    "<body><div id=content><div>{0}</div><div>{1}</div></div></body>",
+    "<body><article>{0}</article><article>{1}</article></body>",
+    "<body><main>{0}</main><div>{1}</div><nav><a href=x>Menu</a></nav></body>",
+])
+def test_content_in_several_containers(html):
+    parts = [f"{P} {i}" for i in range(10)]
+    page = html.format("".join(f"<p>{x}</p>" for x in parts[:8]), "<h2>More</h2>" + "".join(f"<p>{x}</p>" for x in parts[8:]))
+    assert main_text(page) == "\n\n".join([*parts[:8], "More", *parts[8:]])
