@@ -31,7 +31,7 @@ MORE = {
     "local_phone": r"(?<![0-9+(])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 KINDS = {k: i for i, k in enumerate([*BASE, *MORE])}
-#: Score without and with a context word within NEAR characters, and the words.
+#: Score without and with a context word within NEAR characters of the span, and the words.
 NEAR = 48
 SCORES = {
     "email": (0.9, 1.0, "mail|contact|write"), "ip": (0.6, 0.8, "ip|server|address|host"), "card": (0.7, 1.0, "card|visa|credit|pay|iban"),
@@ -86,11 +86,25 @@ def _starts(kind: str) -> str:
     )
 
 
+def _context(kind: str) -> str:
+    """SQL for the NEAR characters before and after hit i, across other hits of the kind; trimmed has the ends of the gaps.
+
+    A hit has two characters at least, so NEAR / 2 neighbours on each side are enough.
+    """
+    hits, most = f"{kind}_hits", NEAR // 2
+    earlier = f"array_join(transform(slice({hits}, greatest(i - {most}, 0) + 1, least(i, {most})), (x, j) -> concat(right(trimmed[greatest(i - {most}, 0) + j], {NEAR}), right(x, {NEAR}))), '')"
+    later = f"array_join(transform(slice({hits}, i + 2, {most}), (x, j) -> concat(left(x, {NEAR}), left(trimmed[i + j + 2], {NEAR}))), '')"
+    before = f"CASE WHEN i = 0 OR length(trimmed[i]) >= {NEAR} THEN right(trimmed[i], {NEAR}) ELSE right(concat({earlier}, trimmed[i]), {NEAR}) END"
+    after = f"CASE WHEN i + 1 = size({hits}) OR length(trimmed[i + 1]) >= {NEAR} THEN left(trimmed[i + 1], {NEAR}) ELSE left(concat(trimmed[i + 1], {later}), {NEAR}) END"
+    return f"concat({before}, ' ', {after})"
+
+
 def _spans(kind: str) -> str:
     low, high, words = SCORES[kind]
-    near = rf"lower(concat(right({kind}_gaps[i], {NEAR}), ' ', left({kind}_gaps[i + 1], {NEAR}))) RLIKE '\\b(?:{words})'"
+    near = rf"lower({_context(kind)}) RLIKE '\\b(?:{words})'"
+    trimmed = f"transform({kind}_gaps, g -> CASE WHEN length(g) <= {2 * NEAR} THEN g ELSE concat(left(g, {NEAR}), right(g, {NEAR})) END)"
     span = f"struct(starts[i] AS start, {KINDS[kind]} AS rank, starts[i] + length(h) AS end, '{kind}' AS kind, CASE WHEN {near} THEN {high}D ELSE {low}D END AS score, {CONFIRM.get(kind, 'true')} AS ok)"
-    return f"filter(flatten(transform(array({_starts(kind)}), starts -> transform({kind}_hits, (h, i) -> {span}))), s -> s.ok)"
+    return f"filter(flatten(transform(array({_starts(kind)}), starts -> flatten(transform(array({trimmed}), trimmed -> transform({kind}_hits, (h, i) -> {span}))))), s -> s.ok)"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.6) -> DataFrame:

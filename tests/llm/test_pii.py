@@ -47,6 +47,25 @@ def test_context_and_checksums(spark, text, kinds):
     assert all(0 < s["score"] <= 1 for s in spans)
 
 
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("social security 123-45-6789, 234-56-7890", ["ssn"] * 2), ("call 555-123-4567 or 555-234-5678", ["local_phone"] * 2), ("123-45-6789, 234-56-7890 by ssn", ["ssn"] * 2), ("ssn 123-45-6789 " + "x" * 40 + " 234-56-7890", ["ssn"]),
+])
+def test_context_reaches_across_hits(spark, text, kinds):
+    assert [s["kind"] for s in pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]] == kinds
+
+
+def test_scores_equal_context_of_plain_text(spark):
+    rnd = random.Random(2)
+    parts = ["1.2.3.4", "10.0.0.1", "server", "ip", "é😀", " ", ", ", "x" * 30, "y " * 60, "host "]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for s in r["spans"]:
+            if s["kind"] == "ip":
+                text = texts[r["doc_id"]]
+                context = text[max(0, s["start"] - pii.NEAR) : s["start"]] + " " + text[s["end"] : s["end"] + pii.NEAR]
+                assert s["score"] == (0.8 if re.search(r"\b(ip|server|address|host)", context, re.A) else 0.6)
+
+
 def test_plan_is_native(spark):
     plan = pii.find_pii(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
