@@ -316,7 +316,7 @@ SELECT query_id, retrieval_rank, round(score, 4) AS score FROM (SELECT *, row_nu
 
 def _searched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     entries = register(spark, sf_dir)
-    found = matching.search(_queries(spark, sf_dir), entries, matching.build_index(entries), 20, mode)
+    found = matching.search(_queries(spark, sf_dir), entries, matching.build_index(entries), 20, mode, most_share=0.02)  # as the SQL
     return found.select("query_id", "retrieval_rank", F.round("retrieval_score", 4).alias("score"))
 
 

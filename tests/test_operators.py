@@ -106,6 +106,16 @@ def test_match_batch(spark):
         matching.search(ask(spark, []), register, register, country_mode="odd")
 
 
+def test_common_words_count_in_retrieval(spark):
+    names = ["Oak Elm Trust", "Oak Elm Harbour", *[f"Harbour Word{i}" for i in range(30)], *[f"Trust Name{i}" for i in range(30)]]
+    register = make_register(spark, [(f"L{i:02}", n) for i, n in enumerate(names)])
+    asked = ask(spark, [("q", "Harbour Elm Oak", None, None, None, None)])
+    found = {r["lei"]: (r["retrieval_rank"], r["retrieval_score"]) for r in matching.search(asked, register, matching.build_index(register), 40).collect()}
+    weights = {r["lei"]: r["w"] for r in matching.build_index(register).where("token IN ('harbour', 'elm', 'oak')").groupBy("lei").agg(F.sum("weight").alias("w")).collect()}
+    assert found["L01"][0] == 1 and found["L00"][0] == 2
+    assert {k: v[1] for k, v in found.items()} == pytest.approx(weights)
+
+
 def test_fingerprint_follows_every_value():
     from dataclasses import replace
 
