@@ -35,6 +35,25 @@ def test_plan_has_no_product(spark, sf_dir, name):
     assert not any(x in plan for x in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"))
 
 
+def test_reachability_from_every_entity(spark, sf_dir):
+    from kinfold.plans.base import register
+    from kinfold.plans.queries import catalog
+
+    steps = {}
+    for r in catalog(spark, sf_dir)["gleif_relationships"].where("relationship_status = 'ACTIVE'").collect():
+        steps.setdefault(r["start_node_id"], set()).add(r["end_node_id"])
+    expected = set()
+    for (root,) in register(spark, sf_dir).select("lei").collect():
+        hops, front = {root: 0}, {root}
+        for hop in range(1, 5):
+            front = {b for a in front for b in steps.get(a, ())} - hops.keys()
+            hops |= dict.fromkeys(front, hop)
+        expected |= {(root, node, n) for node, n in hops.items()}
+    got = [(r["root"], r["node"], r["hops"]) for r in QUERIES["whole_reachability"](spark, sf_dir).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert len({x[0] for x in got}) == register(spark, sf_dir).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
