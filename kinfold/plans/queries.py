@@ -405,14 +405,14 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
-    return evaluation.evaluation_pairs(evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"]), evaluation.confusable_pairs(entries), Benchmark(sample_size=100))
+    return evaluation.evaluation_pairs(evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"]), evaluation.confusable_pairs(entries), Benchmark())
 
 
 @query()
 def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
     found = evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"])
-    pairs = evaluation.evaluation_pairs(found, evaluation.confusable_pairs(entries), Benchmark(sample_size=100))
+    pairs = evaluation.evaluation_pairs(found, evaluation.confusable_pairs(entries), Benchmark())
     return evaluation.metrics(evaluation.run_benchmark(pairs, entries), ["case_type"])
 
 

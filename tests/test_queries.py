@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from kinfold.plans.queries import ORACLES, QUERIES
@@ -54,6 +56,20 @@ def test_reachability_from_every_entity(spark, sf_dir):
     assert len({x[0] for x in got}) == register(spark, sf_dir).count()
 
 
+def test_evaluation_takes_the_default_sample(spark):
+    from kinfold.config import Benchmark
+    from kinfold.operators import evaluation
+    from kinfold.plans.queries import catalog, register
+
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test data")
+    entries = register(spark, sf_dir)
+    positives = evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"])
+    expected = evaluation.evaluation_pairs(positives, evaluation.confusable_pairs(entries), Benchmark()).count()
+    assert QUERIES["evaluation_pairs"](spark, sf_dir).count() == expected > 120
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
