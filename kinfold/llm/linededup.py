@@ -1,9 +1,9 @@
-"""Deletion of repeated runs of lines, found by winnowing over line hashes. DataFrame functions only.
+"""Deletion of repeated runs of lines, found by hashes of whole windows of lines. DataFrame functions only.
 
 Lines with words are hashed. From each line on, and back from each line, the shortest window of lines with min_words
-words is taken, and the line of least hash in it is its fingerprint: two runs that agree in min_words words or more
-share a window and so a fingerprint, wherever they lie. Windows meet by fingerprint and by the hash of all their
-lines, which extends the match to both ends of the window; overlapping windows make up a whole run. Of each window
+words is taken: two runs that agree in min_words words or more share a window, wherever they lie. Windows meet by two
+hashes of all their lines and by the least hash of a line in them; overlapping windows make up a whole run. This is
+not winnowing: no minima are selected, joined and extended, as every window is written out and grouped. Of each window
 the first occurrence (by document id, then line) stays and the lines of all later ones go, within a document too.
 
 So a line goes if and only if it lies in a run of consecutive lines, lines without words aside, with min_words words
