@@ -6,7 +6,8 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from types import ModuleType
 
 import numpy as np
@@ -28,38 +29,85 @@ ship_by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    A folder of our own only where none is set and all tasks run in the driver's own process; elsewhere each executor
+    would write to its own disk, so that is an error.
+    """
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="kinfold-"))
     return _own_dir[0]
 
 
+#: Tables stashed by the operators that are running, the innermost last.
+_scopes: list[dict[str, DataFrame]] = []
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs no rerun.
 
-    The files go when the driver's JVM ends.
+    Within a function marked by scratch the files go when it ends, if its result does not read them; else when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if _scopes:
+        _scopes[-1][path] = df
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(df: DataFrame, paths: set[str]) -> None:
+    sc = df.sparkSession.sparkContext
+    for path in paths:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """The stashed tables that df reads, by the folders that its plan names."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            roots = leaves.apply(i).relation().location().rootPaths()
+            found |= {path for k in range(roots.size()) if "/kinfold/" in (path := roots.apply(k).toString())}
+    return found
+
+
+def scratch(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Delete, at the function's end and also on failure, the tables stashed in it that its result does not read."""
+
+    @wraps(function)
+    def run(*args: object, **named: object) -> DataFrame:
+        _scopes.append({})
+        result = None
+        try:
+            result = function(*args, **named)
+        finally:
+            mine = _scopes.pop()
+            needed = {os.path.basename(p) for p in _read_by(result)} if mine and result is not None else set()
+            for path, df in mine.items():
+                if os.path.basename(path) not in needed:
+                    _delete(df, {path})
+                elif _scopes:  # the caller's result decides
+                    _scopes[-1][path] = df
+        return result
+
+    return run
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table that no later step reads."""
-    sc = df.sparkSession.sparkContext
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/kinfold/" in path:
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df, _read_by(df))
 
 
 #: Estimates beyond this are those of sources without statistics, or products of joins.

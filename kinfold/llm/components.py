@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash
+from .common import drop_stash, scratch, stash
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -28,6 +28,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+@scratch
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; edges has two columns, u and v. The least node names a component."""
     edges = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import scratch, stash
 
 SIZE, LEAST_LITERALS, LEAST_SHARE = 5, 2, 0.8
 #: Windows of items that are broadcast at most; more are joined by shuffle.
@@ -131,6 +131,7 @@ def _few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_WINDOWS else df
 
 
+@scratch
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, text_hash, item, share, same): items held by documents; same if all their slots have the item's own values."""
     items = benchmark.select(benchmark[item_col].alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
@@ -170,6 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return whole.groupBy(*key).agg(F.max(F.struct("share", "same")).alias("best")).select(*key, "best.share", "best.same").unionByName(_whole(rows, plain))
 
 
+@scratch
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id_col, text_col, the columns in keep, and items: an array of (item, share, same) by item, empty if clean."""
     held = matches(docs, benchmark, id_col, text_col, item_col).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("item", "share", "same"))).alias("held"))

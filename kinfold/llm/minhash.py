@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stash, text_slices
+from .common import scratch, ship_by_value, stash, text_slices
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -177,6 +177,7 @@ def _of_unit(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(keep, "unit long, text string")
 
 
+@scratch
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those (u, v) whose sets have 100 * intersection >= percent * union."""
     pairs = stash(pairs.distinct(), "pairs")
@@ -239,6 +240,7 @@ def spanning(left: list[int], right: list[int], links: np.ndarray) -> np.ndarray
     return np.array(keep, np.int64)
 
 
+@scratch
 def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (u, v) between components c within each bucket of open_ (bucket, unit, c), in blocks."""
     counts = open_.groupBy("bucket", "c").agg(F.count("*").alias("k"))
@@ -296,6 +298,7 @@ def _alike(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {shared} <= {COORDINATES - LEAST_BITS}"
 
 
+@scratch
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id_col, n_shingles (long) and component, the least id that links lead to.
 
@@ -319,6 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(held, rows["id"] == held["rep"]).select("unit", "text")
     texts = stash((_of_unit(texts, size) if several else texts).dropDuplicates(["unit"]), "texts")
 
+    @scratch
     def linked(found: DataFrame, component: DataFrame | None) -> DataFrame:
         """Components (node, component) after the links found, given those before."""
         if component is None:

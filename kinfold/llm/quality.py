@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import scratch, stash
 
 #: As SQL text: white space of the word rule, and the symbols that are counted.
 SPACE, SYMBOLS = r"' \t\n\u000b\u000c\r'", "'#*$%&|<>'"
@@ -159,6 +159,7 @@ def _step(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     return total.select("group", *means, *spread)
 
 
+@scratch
 def judge_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = 50
 ) -> DataFrame:

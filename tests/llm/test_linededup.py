@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from kinfold.llm import linededup
 from kinfold.llm.linededup import LAST_ID, line_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -58,3 +61,31 @@ def test_long_texts_equal_rows_and_empty_tables(spark):
 def test_plan_is_native(spark):
     df = line_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_shared_runs_share_a_selected_position(spark):
+    """Fewer positions than windows are written, and two texts with a common run of min_words select the same line in it."""
+    rnd = random.Random(8)
+    line = lambda: " ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 2, 3, 5])))
+    shared = [line() for _ in range(12)]
+    docs = []
+    for i in range(40):
+        a = rnd.randint(0, 6)
+        docs.append((i, "\n".join([line() for _ in range(rnd.randint(0, 30))] + shared[a : a + 6] + [line() for _ in range(rnd.randint(0, 30))])))
+    found = {}
+    rows = linededup._rows(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", ()).select(F.col("doc_id").alias("id"), "text_hash", F.split("text", "\n").alias("lines"))
+    unit = f"struct(i AS line, regexp_count(l, '{linededup.WORD}') AS words, xxhash64(l) AS a, xxhash64(l, 1) AS b)"
+    units = rows.select("id", "text_hash", F.expr(f"transform(lines, (l, i) -> {unit})").alias("units")).select("*", F.expr(linededup._windows(8)).alias("windows"))
+    for r in linededup.selected_positions(units).collect():
+        found.setdefault(r["id"], set()).add(r["at"])
+    texts = dict((i, t.split("\n")) for i, t in docs)
+    assert sum(map(len, found.values())) < 0.7 * sum(map(len, texts.values()))
+    for i in texts:
+        for j in texts:
+            for a in range(len(texts[i])):
+                for b in range(len(texts[j])):
+                    n = 0
+                    while a + n < len(texts[i]) and b + n < len(texts[j]) and texts[i][a + n] == texts[j][b + n]:
+                        n += 1
+                    if i != j and sum(len(x.split()) for x in texts[i][a : a + n]) >= 8:
+                        assert any(a + k in found[i] and b + k in found[j] for k in range(n))
