@@ -3,7 +3,9 @@
 Texts are normalised (NFC, lower case) and cut into words; each distinct word of a batch is encoded once. The
 symbols of all those words lie in one flat array. A round looks up every neighbouring pair by binary search over
 the sorted pair keys, takes each word's lowest rank, merges all its occurrences from the left, and lets finished
-words leave. Memory is bounded by the batch and by the word cache, which is emptied when it is full.
+words leave. Words of more than LONG_WORD bytes would take a round for almost every merge; their pairs wait in a heap
+by rank and place instead, which gives the same merges. Memory is bounded by the batch and by the word cache, which
+is emptied when it is full.
 
 Letters, digits and cases are those of the installed regex library and of unicodedata; code points that only the
 newest Unicode versions assign may differ from other engines.
@@ -14,6 +16,7 @@ extra input columns do not matter.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -29,6 +32,8 @@ from .common import ship_by_value, text_slices
 
 #: Bytes of text encoded at once, and words the cache may hold.
 BATCH_BYTES, CACHE_WORDS = 1 << 19, 150_000
+#: Bytes of the longest word that is merged in rounds.
+LONG_WORD = 256
 #: The vocabulary's own word pattern, its classes left open, and its white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,7 +79,7 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.
     """All words' ids in one array, and len(words) + 1 offsets into it."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     symbol = vocab.inner[np.frombuffer(b"".join(words), np.uint8)]
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes)[sizes > 0]
     symbol[ends - 1] = vocab.last[np.frombuffer(b"".join(w[-1:] for w in words), np.uint8)]
     word = np.repeat(np.arange(len(words)), sizes)
     done_symbols, done_words = [symbol[:0]], [word[:0]]
@@ -102,6 +107,43 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.
     return np.concatenate(done_symbols)[order], np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
 
 
+def encode_long_word(vocab: Vocabulary, word: bytes) -> np.ndarray:
+    """The ids of one word: always the pair of least rank, of equal ones the leftmost, merges."""
+    symbol = vocab.inner[np.frombuffer(word, np.uint8)]
+    symbol[-1] = vocab.last[word[-1]]
+    base = len(vocab.tokens)
+
+    def found(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(vocab.keys, keys), len(vocab.keys) - 1)
+        return at, vocab.keys[at] == keys
+
+    at, hit = found(symbol[:-1] * base + symbol[1:])
+    waiting = [(int(vocab.ranks[at[i]]), i, int(at[i])) for i in np.flatnonzero(hit).tolist()]
+    heapq.heapify(waiting)
+    symbols, after, before = symbol.tolist(), [*range(1, len(symbol)), -1], [*range(-1, len(symbol) - 1)]
+    keys, ranks = vocab.keys, vocab.ranks
+
+    def push(left: int, right: int) -> None:
+        key = symbols[left] * base + symbols[right]
+        k = int(np.searchsorted(keys, key))
+        if k < len(keys) and keys[k] == key:
+            heapq.heappush(waiting, (int(ranks[k]), left, k))
+
+    while waiting:
+        _, left, k = heapq.heappop(waiting)
+        right = after[left]
+        if right < 0 or symbols[left] < 0 or symbols[left] * base + symbols[right] != keys[k]:
+            continue  # one of its symbols has merged since
+        symbols[left], symbols[right] = int(vocab.merged[k]), -1
+        after[left] = after[right]
+        if after[left] >= 0:
+            before[after[left]] = left
+            push(left, after[left])
+        if before[left] >= 0:
+            push(before[left], left)
+    return np.array([x for x in symbols if x >= 0], np.int64)
+
+
 def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> str:
     """The vocabulary names no decoder, so its tokens are joined by spaces, special ones included."""
     return " ".join([vocab.tokens[i] for i in ids.tolist()])
@@ -138,7 +180,11 @@ class Encoder:
         return out + self._split(text[at:])
 
     def _learn(self, words: list[str]) -> None:
-        ids, offsets = encode_words(self.vocab, [w.encode() for w in words])
+        encoded = [w.encode() for w in words]
+        ids, offsets = encode_words(self.vocab, [w if len(w) <= LONG_WORD else b"" for w in encoded])
+        if any(len(w) > LONG_WORD for w in encoded):
+            parts = [encode_long_word(self.vocab, w) if len(w) > LONG_WORD else ids[a:b] for w, a, b in zip(encoded, offsets[:-1], offsets[1:], strict=True)]
+            ids, offsets = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
         for k, w in enumerate(words):
             if w[0] == "\0" and w[1:] in self.vocab.special:
                 ids[offsets[k]] = self.vocab.special[w[1:]]

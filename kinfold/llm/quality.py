@@ -2,12 +2,16 @@
 
 Of each text come counts, and from them a vector of transformed statistics (symbols, word length, repeated words,
 repeated lines, capitals). Texts that fail the base rules are rejected and take no part in the estimates. For each
-language and source a minimum-covariance-determinant estimate of centre and spread is made: from medians and
-quartiles on, steps keep the share of texts nearest to the last estimate and estimate anew from those. Texts whose
-Mahalanobis distance from their group is beyond a chi-squared quantile are rejected. Each statistic has a least
-spread, as many are 0 throughout a clean group.
-
-Every step is one aggregation to counts and sums by group and distance bin, combined before the shuffle, so a source
+language and source a minimum-covariance-determinant estimate of centre and spread is made. There are three starts:
+medians and quartiles, the moments of all texts, and the moments of statistics drawn in to two spreads around their
+medians. From each, concentration steps keep the share of texts nearest to the last estimate and estimate anew from
+those, until no determinant changes by more than TOLERANCE in its logarithm, or MOST_STEPS times; of a group's starts
+that with the least determinant counts. Texts whose Mahalanobis distance from their group is beyond a chi-squared
+quantile are rejected. Each statistic has a least spread, as many are 0 throughout a clean group; it is added to the
+covariance wherever distances and determinants are taken. The share is cut at distance bins of 1 / DISTANCE_BINS of
+a factor e, so it holds up to a bin more than SHARE.
+
+Every step is one aggregation to counts and sums by group, start and distance bin, combined before the shuffle, so a source
 that holds a third of all rows costs no more than others. Statistics are integers on a fixed grid and all sums are
 exact, so results do not depend on the order of rows. Groups with fewer than least_rows texts join the rest of their
 language, languages with fewer the rest of all; a group with fewer than that is not judged.
@@ -23,12 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stash
+from .common import drop_stash, scratch, stash
 
 #: As SQL text: white space of the word rule, and the symbols that are counted.
 SPACE, SYMBOLS = r"' \t\n\u000b\u000c\r'", "'#*$%&|<>'"
 #: Grid of the statistics, bins for medians, and bins of a factor e for squared distances.
-GRID, COARSE, DISTANCE_BINS = 1024, 16, 16
+GRID, COARSE, DISTANCE_BINS = 1024, 16, 64
 #: Transformed statistics as SQL, and the least spread of each.
 STATISTICS = {
     "symbols": ("ln(1 + 100D * n_symbols / word_chars)", 0.35),
@@ -39,8 +43,12 @@ STATISTICS = {
 }
 NAMES = list(STATISTICS)
 P = len(NAMES)
-#: Share of a group that the estimates rest on, steps, and the chi-squared quantile beyond which a text is rejected.
-SHARE, STEPS, QUANTILE = 0.75, 3, 0.9999
+#: Share of a group that the estimates rest on, and the chi-squared quantile beyond which a text is rejected.
+SHARE, QUANTILE = 0.75, 0.9999
+#: Steps end when no log-determinant changes by more, and after so many at the latest.
+TOLERANCE, MOST_STEPS = 0.01, 12
+#: Where a start draws statistics in to, in spreads around the median.
+DRAWN_IN = 2.0
 #: So many groups at most are broadcast; more are joined.
 BROADCAST_GROUPS = 100_000
 
@@ -123,15 +131,42 @@ def _medians(stats: DataFrame) -> DataFrame:
     return dims.groupBy("group").agg(*picks).select("*", *[F.lit(0.0).alias(f"v_{i}_{j}") for i in range(P) for j in range(i)])
 
 
+def _sums() -> list[Column]:
+    """Sums of the statistics and of their products, exact as integers."""
+    return [F.sum(n).alias(f"s_{i}") for i, n in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]
+
+
+def _moments(total: DataFrame, keys: list[str], correct: float) -> DataFrame:
+    """keys, m_i and v_i_j from n and the sums; correct: factor of the covariance."""
+    means = [(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(P)]
+    spread = [((F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) * (correct / GRID**2)).alias(f"v_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    return total.select(*keys, *means, *spread)
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """group, start, m_i, v_i_j of the three first estimates."""
+    medians = stash(_medians(stats), "groups")
+    rows = _bounded_join(stats.select("group", *NAMES), medians, "group")
+    edge = lambda i, sign: f"bigint({GRID} * (m_{i} {sign} {DRAWN_IN} * sqrt(v_{i}_{i} + {STATISTICS[NAMES[i]][1] ** 2}D)))"
+    drawn = rows.select("group", *[F.expr(f"greatest(least({n}, {edge(i, '+')}), {edge(i, '-')})").alias(n) for i, n in enumerate(NAMES)])
+    starts = [medians]
+    for part in (stats, drawn):
+        starts.append(_moments(part.groupBy("group").agg(F.count("*").alias("n"), *_sums()), ["group"], 1.0))
+    columns = ["group", *[f"m_{i}" for i in range(P)], *[f"v_{i}_{j}" for i in range(P) for j in range(i + 1)]]
+    found = [df.select(F.lit(k).alias("start"), *columns) for k, df in enumerate(starts)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _triangle(moments: DataFrame) -> DataFrame:
-    """group, m_i, and l_i_j: the Cholesky factor of the covariance v_i_j with the least spreads added."""
+    """group, start, m_i, l_i_j (the Cholesky factor of the covariance v_i_j with the least spreads added), log_det of that."""
     done = moments
     for i in range(P):
         floor = STATISTICS[NAMES[i]][1] ** 2
         for j in range(i + 1):
             inner = " - ".join([f"v_{i}_{j}" + (f" + {floor}D" if i == j else ""), *[f"l_{i}_{k} * l_{j}_{k}" for k in range(j)]])
             done = done.withColumn(f"l_{i}_{j}", F.expr(f"sqrt(greatest({inner}, {floor}D))" if i == j else f"({inner}) / l_{j}_{j}"))
-    return done.select("group", *[f"m_{i}" for i in range(P)], *[f"l_{i}_{j}" for i in range(P) for j in range(i + 1)])
+    log_det = F.expr(" + ".join(f"2 * ln(l_{i}_{i})" for i in range(P)))
+    return done.select("group", "start", *[f"m_{i}" for i in range(P)], *[f"l_{i}_{j}" for i in range(P) for j in range(i + 1)], log_det.alias("log_det"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -144,19 +179,31 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _step(stats: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The moments of the SHARE of each group that is nearest to its estimate."""
-    near = _distance(_bounded_join(stats.select("group", *NAMES), _triangle(estimate), "group"))
+    """For each start, the next estimate from the SHARE of each group that is nearest to the last one (of _triangle)."""
+    keys = ["group", "start"]
+    near = _distance(_bounded_join(stats.select("group", *NAMES), estimate.drop("log_det"), "group"))
     near = near.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * DISTANCE_BINS))
-    sums = [F.sum(n).alias(f"s_{i}") for i, n in enumerate(NAMES)]
-    sums += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"), *sums)
-    before = F.sum("n").over(Window.partitionBy("group").orderBy("bin")) - F.col("n")
-    bins = bins.withColumn("in", before < F.ceil(SHARE * F.sum("n").over(Window.partitionBy("group")))).where("in")
-    total = bins.groupBy("group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in bins.columns if c.startswith("s_")])
-    correct = SHARE / chi2_cdf(chi2_quantile(SHARE, P), P + 2)
-    means = [(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(P)]
-    spread = [((F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) * (correct / GRID**2)).alias(f"v_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    return total.select("group", *means, *spread)
+    bins = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *_sums())
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("n")
+    bins = bins.withColumn("in", before < F.ceil(SHARE * F.sum("n").over(Window.partitionBy(*keys)))).where("in")
+    total = bins.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in bins.columns if c.startswith("s_")])
+    return _triangle(_moments(total, keys, SHARE / chi2_cdf(chi2_quantile(SHARE, P), P + 2)))
+
+
+@scratch
+def least_determinants(stats: DataFrame) -> DataFrame:
+    """The estimate of each group (of _triangle) whose determinant is least after the concentration steps."""
+    estimate = stash(_triangle(_starts(stats)), "estimate")
+    for _ in range(MOST_STEPS):
+        after = stash(_step(stats, estimate), "estimate")
+        now = after.select("group", "start", F.col("log_det").alias("now"))
+        moved = estimate.join(now, ["group", "start"]).agg(F.max(F.abs(F.col("now") - F.col("log_det")))).first()[0]
+        drop_stash(estimate)
+        estimate = after
+        if moved is None or moved <= TOLERANCE:
+            break
+    best = estimate.groupBy("group").agg(F.min_by(F.struct(*estimate.columns[1:]), F.struct("log_det", "start")).alias("best"))
+    return stash(best.select("group", "best.*"), "estimate")
 
 
 @scratch
@@ -171,11 +218,9 @@ def judge_quality(
     scaled = [F.expr(f"CASE WHEN NOT base_failed THEN bigint(round({GRID} * {sql})) END").alias(n) for n, (sql, _) in STATISTICS.items()]
     counts = stash(counts.select("*", *scaled), "statistics")
     judged = _grouped(counts.where("NOT base_failed"), least_rows)
-    estimate = _medians(judged)
-    for _ in range(STEPS):
-        estimate = _step(judged, estimate)
+    estimate = least_determinants(judged).drop("start", "log_det")
     enough = judged.groupBy("group").agg(F.count("*").alias("rows"))
-    judged = _distance(_bounded_join(judged, _triangle(estimate).join(enough, "group"), "group"))
+    judged = _distance(_bounded_join(judged, estimate.join(enough, "group"), "group"))
     judged = judged.withColumn("distance", F.when(F.col("rows") >= least_rows, F.col("d2")))
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance"]
     out = judged.select(*names).unionByName(counts.where("base_failed").withColumn("distance", F.lit(None).cast("double")).select(*names))

@@ -3,11 +3,13 @@
 A text's features are its distinct hashed n-grams of 3 to 6 characters. From labelled texts come each feature's
 log-count ratio (how much more frequent it is in toxic texts) and the ratio's standard error; features whose ratio
 is within a few errors of 0 say nothing and are dropped. The others, scaled by their ratios, go into a logistic
-regression with an L2 penalty. Training takes at most sample_size labelled rows, those of least hash, in one task;
-the model has at most BUCKETS weights and is broadcast. Scoring reads every whole text.
+regression with an L2 penalty. Training takes a sample of labelled texts in one task: those of least hash, at most
+sample_size texts of sample_bytes bytes altogether, each whole; longer ones are passed over. The model has at most
+BUCKETS weights and is broadcast. Scoring reads every whole text.
 
 Null text counts as empty and gets the score of a text without known features, as do all texts when there is
-nothing to learn from. Rows are scored one by one, so ties, repeats and extra columns do not matter.
+nothing to learn from. Rows are scored one by one, so ties and repeats do not matter; equal texts under one id are
+learnt from once. A column with the name of the score is replaced; other extra columns stay.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship_by_value, text_slices
@@ -141,12 +143,17 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used], pa.int64()), pa.array(np.r_[model.bias, model.weights[used]])], ["bucket", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_size: int = 8192) -> Model:
-    """labels: rows of id_col and label_col, 0 or 1; the sample_size of least hash are learnt from."""
-    ids = labels.select(labels[id_col].alias("k"), labels[label_col].alias("label")).where("k IS NOT NULL AND label IN (0, 1)")
-    sample = ids.orderBy(F.xxhash64("k"), "k", "label").limit(sample_size)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_size: int = 8192, sample_bytes: int = 64 << 20) -> Model:
+    """labels: rows of id_col and label_col, 0 or 1; the texts of least hash within the two bounds are learnt from."""
+    ids = labels.select(labels[id_col].alias("k"), labels[label_col].cast("long").alias("label")).where("k IS NOT NULL AND label IN (0, 1)").distinct()
+    ids = ids.orderBy(F.xxhash64("k"), "k", "label").limit(sample_size)
     texts = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "k").select(F.col("label").cast("long"), "text").repartition(1)
+    sized = texts.select("k", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).join(F.broadcast(ids), "k").where(F.col("size") <= sample_bytes)
+    sized = sized.distinct().orderBy(F.xxhash64("k"), "k", "h", "label").limit(sample_size)
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("k"), "k", "h", "label"))  # over sample_size rows at most
+    sample = sized.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select(F.col("k").alias("s_k"), F.col("h").alias("s_h"), "label")
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(sample), (F.col("k") == F.col("s_k")) & (F.col("h") == F.col("s_h")))
+    rows = rows.dropDuplicates(["k", "h", "label"]).select("label", "text").repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
     weights = np.zeros(BUCKETS)
     bias = float(np.log(1 / 3))  # where no row is labelled
     for r in rows.mapInArrow(_train_rows, "bucket long, weight double").collect():  # at most one row a bucket
@@ -158,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """docs and a column score_col from 0 to 1."""
+    """docs and a column score_col from 0 to 1, in place of one of that name."""
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -114,15 +114,15 @@ def _shape(keys: Iterable[str]) -> Shape:
     return Shape(sorted({h.count(".") + 1 for h, _ in split}), sorted({len(p) for _, p in split}))
 
 
-def _passed(urls: DataFrame, shape: Shape, firsts: list[Bloom], listed: list[set[str]]) -> DataFrame:
-    """Distinct (list number, key): unlisted keys of the corpus that the list's level 0 lets through."""
+def _passed(urls: DataFrame, shape: Shape, firsts: list[Bloom]) -> DataFrame:
+    """Distinct (list number, key): keys of the corpus that the list's level 0 lets through, listed ones among them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
             for url in batch.column(0).to_pylist():
                 for key in shape.keys(*split_url(url)):
-                    found.update((i, key) for i, first in enumerate(firsts) if key in first and key not in listed[i])
+                    found.update((i, key) for i, first in enumerate(firsts) if key in first)
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([k for _, k in found], pa.string())], ["list", "key"])
 
@@ -145,9 +145,9 @@ def make_cascades(urls: DataFrame, lists: list[set[str]]) -> tuple[list[Cascade]
     rates = [min(0.5, max(1, len(x)) / (math.sqrt(2) * total)) for x in lists]
     while True:
         firsts = [make_bloom(x, rate, 0) for x, rate in zip(lists, rates, strict=True)]
-        most = [MOST_PASSED * len(x) + 64 for x in lists]
-        rows = _passed(urls, shape, firsts, lists).limit(sum(most) + 1).collect()  # one more than may be; then all are found anew
-        passed = [{r["key"] for r in rows if r["list"] == i} for i in range(len(lists))]
+        most = [(MOST_PASSED + 1) * len(x) + 64 for x in lists]  # level 0 lets all listed keys through
+        rows = _passed(urls, shape, firsts).limit(sum(most) + 1).collect()  # one more than may be; then all are found anew
+        passed = [{r["key"] for r in rows if r["list"] == i} - x for i, x in enumerate(lists)]
         if len(rows) <= sum(most):
             return [make_cascade(x, first, more) for x, first, more in zip(lists, firsts, passed, strict=True)], shape
         rates = [rate / 16 for rate in rates]

@@ -53,3 +53,16 @@ def test_decoding_inverts_encoding():
     vocab = bpe.load_vocabulary(PATH)
     ids, _ = bpe.encode_words(vocab, [b"hello", b"zzzz"])
     assert "".join(bpe.decode_ids(vocab, ids).split()).replace("</w>", " ") == "hello zzzz "
+
+
+def test_long_words_take_little_time(library):
+    import time
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 80_000), ("ab", 30_000), ("a", 30_000), ("äöü", 3000))]
+    encoder = bpe.Encoder(bpe.load_vocabulary(PATH))
+    started = time.process_time()
+    ids, offsets, _ = encoder.encode(words)
+    assert time.process_time() - started < 8
+    for k, w in enumerate(words):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(w, add_special_tokens=False).ids

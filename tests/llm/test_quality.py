@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,58 @@ def test_small_groups_are_not_judged_and_rows_order_does_not_matter(spark):
 
 def test_chi_squared():
     assert Q.chi2_quantile(0.95, 1) == pytest.approx(3.841, abs=1e-3) and Q.chi2_quantile(0.9999, 5) == pytest.approx(25.745, abs=1e-2)
+
+
+def vectors(texts):
+    """The statistics, on their grid, by plain Python."""
+    out = []
+    for t in texts:
+        words, chars, symbols, dup, repeated = counts(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        out.append([math.log(1 + 100 * symbols / chars), math.log(chars / words), math.sqrt(repeated / words), math.sqrt(dup / lines), math.sqrt(sum(c.isupper() for c in t) / chars)])
+    return np.round(np.array(out) * Q.GRID) / Q.GRID
+
+
+def brute_mcd(x, rng):
+    """Of many random starts, each followed until its subset stays, the estimate of least determinant; and all distances."""
+    n = math.ceil(Q.SHARE * len(x))
+    floor = np.diag([spread**2 for _, spread in Q.STATISTICS.values()])
+    correct = Q.SHARE / Q.chi2_cdf(Q.chi2_quantile(Q.SHARE, Q.P), Q.P + 2)
+    best = None
+    for _ in range(60):
+        rows = rng.choice(len(x), Q.P + 1, replace=False)
+        while True:
+            centre, spread = x[rows].mean(0), np.cov(x[rows].T, bias=True) * correct + floor
+            d = x - centre
+            d2 = (d @ np.linalg.inv(spread) * d).sum(1)
+            near = np.sort(np.argsort(d2, kind="stable")[:n])
+            if len(near) == len(rows) and (near == rows).all():
+                break
+            rows = near
+        found = np.linalg.slogdet(spread)[1]
+        if best is None or found < best[0]:
+            best = found, d2
+    return best
+
+
+def test_estimates_equal_brute_force(spark):
+    """Against many random starts, with a quarter of the rows of each group far off in a cluster of their own."""
+    rnd, rng = random.Random(11), np.random.default_rng(3)
+    docs = []
+    for lang, source in (("en", "a"), ("en", "b"), ("de", "a")):
+        for _ in range(240):
+            docs.append((len(docs), good(rnd), lang, source))
+        for _ in range(40 if source == "a" else 60):
+            docs.append((len(docs), good(rnd).replace(" ", "** ").title(), lang, source))
+        docs += [(len(docs) + k, good(rnd).upper(), lang, source) for k in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in Q.judge_quality(df).collect()}
+    stats = spark.createDataFrame([(f"{d[2]}{d[3]}", *map(int, v)) for d, v in zip(docs, vectors([d[1] for d in docs]) * Q.GRID, strict=True)], "group string, " + ", ".join(f"{n} long" for n in Q.NAMES))
+    dets = {r["group"]: r["log_det"] for r in Q.least_determinants(stats).collect()}
+    for lang, source in (("en", "a"), ("en", "b"), ("de", "a")):
+        mine = [d for d in docs if d[2:] == (lang, source)]
+        det, d2 = brute_mcd(vectors([d[1] for d in mine]), rng)
+        assert dets[lang + source] == pytest.approx(det, abs=0.15)
+        want = d2 <= Q.chi2_quantile(Q.QUANTILE, Q.P)
+        assert np.mean([kept[d[0]] == w for d, w in zip(mine, want, strict=True)]) > 0.99
+        assert not any(kept[d[0]] for d in mine[240:])

@@ -58,3 +58,46 @@ def test_corpus_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     assert scored.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.93
+
+
+def plain_scores(train, test):
+    """The same model by dictionaries and a plain gradient descent."""
+    grams = lambda t: {s[i : i + n] for s in [f" {' '.join(t.lower().split())} "] for n in T.SIZES for i in range(len(s) - n + 1)}
+    sets = [grams(t) for t, _ in train]
+    y = np.array([label for _, label in train])
+    counts = {}
+    for s, label in zip(sets, y, strict=True):
+        for g in s:
+            counts.setdefault(g, [0, 0])[label] += 1
+    ratio = {}
+    for g, (no, yes) in counts.items():
+        r = np.log((yes + T.SMOOTH) / (y.sum() + 2 * T.SMOOTH)) - np.log((no + T.SMOOTH) / ((1 - y).sum() + 2 * T.SMOOTH))
+        if abs(r) >= T.LEAST_Z * np.sqrt(1 / (yes + T.SMOOTH) + 1 / (no + T.SMOOTH)) and yes + no >= T.LEAST_TEXTS:
+            ratio[g] = r
+    names = sorted(ratio)
+    row = lambda s: [ratio[g] * (g in s) for g in names]
+    x = np.array([row(s) for s in sets])
+    w, bias = np.zeros(len(names)), 0.0
+    rate = 1 / (0.25 * (np.linalg.norm(x, 2) ** 2 + len(x)) / len(x) + T.PENALTY)
+    for _ in range(20_000):
+        g = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
+        w, bias = w - rate * (x.T @ g + T.PENALTY * w), bias - rate * g.sum()
+    return 1 / (1 + np.exp(-(np.array([row(grams(t)) for t, _ in test]) @ w + bias)))
+
+
+def test_equals_a_plain_trainer():
+    train, test = texts(250, 5), texts(120, 6)
+    model = T.train([t for t, _ in train], np.array([y for _, y in train]))
+    got = T.score(model, [t for t, _ in test], model.weights != 0)
+    want = plain_scores(train, test)
+    assert np.abs(got - want).mean() < 0.02 and ((got >= 0.5) == (want >= 0.5)).mean() > 0.98
+
+
+def test_sample_is_bounded_in_bytes_and_rows(spark):
+    docs = spark.createDataFrame([(1, "x" * 5000)] * 50 + [(2, "y" * 3000), (3, "z" * 100), (4, "w" * 100)], "doc_id long, toxicity string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    assert T.fit(docs, labels, text_col="toxicity", sample_bytes=200).bias == T.train(["z" * 100, "w" * 100], np.array([1, 0])).bias
+    model = T.fit(docs, labels, text_col="toxicity")
+    assert model.bias == T.train(["x", "y", "z", "w"], np.array([1, 0, 1, 0])).bias
+    named = docs.withColumnRenamed("toxicity", "text").withColumn("toxicity", docs["doc_id"])
+    assert T.score_toxicity(named, model).columns == ["doc_id", "text", "toxicity"] and T.score_toxicity(named, model).schema["toxicity"].dataType.simpleString() == "double"
