@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -41,6 +42,19 @@ class Catalog:
         table.write.mode("overwrite").parquet(f"{self.root}/{name}.parquet")
         self._tables.pop(name, None)
 
+    def fingerprints(self) -> dict[str, str]:
+        """Of each table read so far: a hash of its schema and of its files' names, sizes and times."""
+        found = {}
+        for name, table in sorted(self._tables.items()):
+            files: list[tuple[str, int, int]] = []
+            if self.root:
+                target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.parquet")
+                fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+                if fs.exists(target):
+                    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(target))
+            found[name] = hashlib.sha256(f"{table.schema.json()} {files}".encode()).hexdigest()[:16]
+        return found
+
 
 def optional(df: DataFrame, name: str, kind: str = "string"):
     """The column, or typed nulls where a table of an older shape lacks it."""

@@ -17,7 +17,10 @@ COUNTRY_NAMES = {
     "LUXEMBOURG": "LU", "SINGAPORE": "SG", "SWITZERLAND": "CH", "GERMANY": "DE", "FRANCE": "FR", "NETHERLANDS": "NL",
     "BRITISH VIRGIN ISLANDS": "VG", "BVI": "VG", "JERSEY": "JE", "GUERNSEY": "GG", "UAE": "AE", "UNITED ARAB EMIRATES": "AE",
 }
-US_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT",
+    "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR",
+]
 #: Order in which the parts of an address are put together.
 ADDRESS_PARTS = "house_number road unit city_district suburb city state_district state postcode country".split()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 # Labels of relationship types seen from below and from above, and of reporting exceptions.
@@ -73,55 +73,60 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 class Node:
     lei: str
     name: str | None = None
+    relationship_type: str | None = None
     label: str | None = None
+    status: str | None = None
     expanded: bool = False
+    exceptions: list[dict[str, str | None]] = field(default_factory=list)
     up: list[Node] = field(default_factory=list)
     down: list[Node] = field(default_factory=list)
 
 
-def hierarchy_tree(relationships: DataFrame, entities: DataFrame, lei: str, depth: int = 1, direction: str = "all", extra_parent_depth: int = 0, max_nodes: int = 30) -> Node:
-    """The tree around one entity, depth first: each entity is expanded once, and at most max_nodes are.
+def hierarchy_tree(
+    relationships: DataFrame, entities: DataFrame, lei: str, depth: int = 1, direction: str = "all", extra_parent_depth: int = 0, max_nodes: int = 200, exceptions: DataFrame | None = None
+) -> Node:
+    """The tree around one entity, depth first, parents before children; each entity is expanded once, max_nodes at most.
 
-    Spark pulls the neighbourhood that this depth and budget can reach, hop by hop; only that is assembled here. The
-    budget bounds what is held: a hop looks up max_nodes entities at most.
+    A step up uses up a level of parents and leaves the levels of children as they are, and the other way round, so a
+    parent's other children are listed too. Expanded nodes carry their open reporting exceptions, if the table is
+    given. Spark looks up what the walk comes to, an entity together with those that may follow it, so all lookups
+    together take max_nodes entities at most.
     """
     if direction not in ("parents", "children", "all"):
         raise ValueError(f"direction is parents, children or all, not {direction}")
     links = neighbours(relationships, entities)
-    names = {r["entity_id"]: r["canonical_name"] for r in entities.where(F.col("entity_id") == lei).select("entity_id", "canonical_name").collect()}
-    around: dict[str, list] = {}
+    named = entities.where(F.col("entity_id") == lei).select("canonical_name").first()
+    silent = open_exceptions(exceptions, relationships) if exceptions is not None else None
+    around: dict[str, list[Row]] = {}
+    reported: dict[str, list[dict[str, str | None]]] = {}
 
     def fetch(wanted: Sequence[str]) -> None:
-        for w in wanted:
-            around.setdefault(w, [])
-        rows = links.where(F.col("lei").isin(list(wanted))).orderBy("lei", "direction", "relationship_type", "other").collect()
-        for r in rows:
+        fresh = [w for w in dict.fromkeys(wanted) if w not in around]
+        if not fresh:
+            return
+        around.update({w: [] for w in fresh})
+        for r in links.where(F.col("lei").isin(fresh)).orderBy("lei", "relationship_type", "other").collect():
             around[r["lei"]].append(r)
-            names.setdefault(r["other"], r["other_name"])
-
-    front = [lei]
-    for _ in range(depth + extra_parent_depth):
-        fetch(front[:max_nodes])
-        front = list(dict.fromkeys(r["other"] for f in front[:max_nodes] for r in around[f] if r["other"] not in around))
-        if not front:
-            break
+        if silent is not None:
+            for r in silent.where(F.col("lei").isin(fresh)).orderBy("lei", "exception_category", "exception_reason").collect():
+                reported.setdefault(r["lei"], []).append({"label": r["label"], "reason": r["reason_text"]})
+
     visited: set[str] = set()
-    budget = [max_nodes]
 
     def expand(node: Node, up: int, down: int) -> None:
-        if node.lei in visited or budget[0] <= 0 or node.lei not in around or up <= 0 and down <= 0:
-            return
         visited.add(node.lei)
-        budget[0] -= 1
-        node.expanded = True
-        for r in around[node.lei]:
-            upward = r["direction"] == "up"
-            if upward and (direction == "children" or up <= 0) or not upward and (direction == "parents" or down <= 0):
-                continue
-            child = Node(r["other"], names.get(r["other"]), r["label"])
-            (node.up if upward else node.down).append(child)
-            expand(child, up - 1 if upward else 0, 0 if upward else down - 1)
-
-    root = Node(lei, names.get(lei))
+        fetch([node.lei])
+        node.expanded, node.exceptions = True, reported.get(node.lei, [])
+        steps = [(node.up, r, up - 1, down, up > 1) for r in around[node.lei] if r["direction"] == "up" and direction != "children"]
+        steps += [(node.down, r, up, down - 1, down > 1) for r in around[node.lei] if r["direction"] == "down" and direction != "parents"]
+        # looked up together: those that will be expanded, as far as the budget goes whatever lies below them
+        fetch([r["other"] for _, r, _, _, more in steps if more and r["other"] not in visited][: max(0, max_nodes - len(around))])
+        for side, r, above, below, more in steps:
+            child = Node(r["other"], r["other_name"], r["relationship_type"], r["label"], r["relationship_status"])
+            side.append(child)
+            if more and len(visited) < max_nodes and child.lei not in visited:
+                expand(child, above, below)
+
+    root = Node(lei, named["canonical_name"] if named else None)
     expand(root, depth + extra_parent_depth, depth)
     return root

@@ -16,8 +16,6 @@ K1, B = 1.2, 0.75
 #: Fields of a register row that are searched, and their boosts; a hit of the compact name counts as much as its boost.
 BOOSTS = {"norm": 5.0, "core": 3.0, "alias": 2.0}
 COMPACT_BOOST, COUNTRY_BOOST, COUNTRY_DEMOTION = 4.0, 8.0, 0.3
-#: Where search is given a largest share of the register, so many of a query's rarest words count whatever theirs.
-RAREST = 2
 CANDIDATE_FIELDS = (
     "lei legal_name legal_name_norm legal_name_core aliases_norm jurisdiction legal_country legal_postcode legal_city registration_id registration_id_norm entity_status fund_number is_master is_feeder"
 ).split()
@@ -38,7 +36,7 @@ def build_index(register: DataFrame) -> DataFrame:
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in BOOSTS.items()])
     joined = tokens.join(seen, ["token", "field"]).join(F.broadcast(stats), "field")  # three rows at most
-    return joined.select("token", "field", "lei", "df", (F.col("df") / F.col("docs")).alias("share"), (boost * idf * part).alias("weight"))
+    return joined.select("token", "field", "lei", (boost * idf * part).alias("weight"))
 
 
 def build_queries(df: DataFrame, name: str = "name", country: str | None = None, postcode: str | None = None, city: str | None = None, registration_id: str | None = None, key: str = "query_id") -> DataFrame:
@@ -54,20 +52,15 @@ def build_queries(df: DataFrame, name: str = "name", country: str | None = None,
     )
 
 
-def search(queries: DataFrame, register: DataFrame, index: DataFrame, size: int = 20, country_mode: str = "soft", most_share: float | None = None) -> DataFrame:
+def search(queries: DataFrame, register: DataFrame, index: DataFrame, size: int = 20, country_mode: str = "soft") -> DataFrame:
     """Candidates of each query with retrieval_score and retrieval_rank; a candidate needs a hit in its name.
 
     soft: the same country adds a constant, another one scales the score down. strict: only the same country.
-    All words of a query count, common ones too. With most_share, which only the queries use whose SQL has it, a word
-    in a larger share of the register counts only where it is among the query's rarest.
+    All words of a query count, common ones too.
     """
     if country_mode not in ("soft", "strict"):
         raise ValueError(f"country_mode is soft or strict, not {country_mode}")
     asked = queries.select("query_id", F.explode(F.array_distinct(names.words("q_name_norm"))).alias("token"))
-    if most_share is not None:
-        share = index.groupBy("token").agg(F.max("share").alias("share"))
-        asked = asked.join(share, "token")
-        asked = asked.withColumn("rarity", F.row_number().over(Window.partitionBy("query_id").orderBy("share", "token"))).where((F.col("share") <= most_share) | (F.col("rarity") <= RAREST))
     hits = asked.select("query_id", "token").join(index, "token").groupBy("query_id", "lei").agg(F.sum("weight").alias("hit"))
     compact = register.select("lei", names.compact("legal_name_norm").alias("compact"))
     glued = queries.select("query_id", names.compact("q_name_norm").alias("compact")).where("compact <> ''").join(compact, "compact").select("query_id", "lei", F.lit(COMPACT_BOOST).alias("hit"))

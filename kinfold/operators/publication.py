@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.catalog import Catalog
@@ -18,9 +20,12 @@ class PublicationError(RuntimeError):
 
 
 class Publisher:
-    """Below root: <generation>/<name> in Parquet, <generation>/manifest.json, CURRENT.json and a lock.
+    """Below root: <generation>/<name> in Parquet, <generation>/manifest.json, and numbered pointers in current/.
 
-    All files go through the cluster's file system, so root may be in any store that Spark writes.
+    The readable pointer of highest number names the current generation. Pointers are created and never replaced, so
+    there is always a current one, and of two publications that end at the same time one fails; neither needs a lock
+    that a killed run would leave behind. All files go through the cluster's file system, so root may be in any store
+    that Spark writes.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -42,23 +47,41 @@ class Publisher:
         finally:
             stream.close()
 
-    def _write(self, name: str, value: dict, overwrite: bool = True) -> None:
-        """The whole value or nothing: written aside, then renamed."""
-        aside = self._path(f"{self.root}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
-        stream.close()
+    def _write(self, name: str, value: dict) -> None:
+        """Create a file; fails if there is one."""
         target = self._path(f"{self.root}/{name}")
-        if self._fs.exists(target):
-            if not overwrite:
-                self._fs.delete(aside, False)
-                raise PublicationError(f"{name} exists")
-            self._fs.delete(target, False)
-        if not self._fs.rename(aside, target):
-            raise PublicationError(f"cannot write {name}")
+        self._fs.mkdirs(target.getParent())
+        try:
+            stream = self._fs.create(target, False)
+        except Py4JJavaError as e:
+            raise PublicationError(f"{name} exists") from e
+        try:
+            stream.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
+        finally:
+            stream.close()
+
+    def _pointers(self) -> list[int]:
+        """Numbers of all pointers, the highest first."""
+        if not self._exists("current"):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/current"))]
+        return sorted((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n)), reverse=True)
+
+    def _pointer(self) -> tuple[int, dict]:
+        """The highest number, and the highest pointer that is whole; one cut short by a crash is passed over."""
+        numbers = self._pointers()
+        for n in numbers:
+            try:
+                return numbers[0], self._read(f"current/{n:010d}.json") or {}
+            except ValueError:
+                continue
+        return (numbers or [0])[0], {}
+
+    def _switch(self, generation: str, previous: str | None, after: int) -> None:
+        self._write(f"current/{after + 1:010d}.json", {"generation": generation, "previous": previous})
 
     def current(self) -> str | None:
-        return (self._read("CURRENT.json") or {}).get("generation")
+        return self._pointer()[1].get("generation")
 
     def manifest(self, generation: str) -> dict | None:
         return self._read(f"{generation}/manifest.json")
@@ -71,14 +94,12 @@ class Publisher:
     def publish(self, catalog: Catalog, builders: dict[str, Callable[[Catalog], DataFrame | None]], only: Iterable[str] | None = None) -> str:
         """Build, count and switch. With only, the other documents stay those of the current generation.
 
-        A failure at any point leaves the current generation in place and removes what was written.
+        A failure at any point leaves the current generation in place and removes what was written, as do inputs that
+        change while they are read.
         """
-        lock = self._path(f"{self.root}/.lock")
-        self._fs.mkdirs(self._path(self.root))
-        if not self._fs.createNewFile(lock):
-            raise PublicationError("another publication is running")
         generation = time.strftime("%Y%m%d%H%M%S") + "-" + uuid.uuid4().hex[:8]
-        before = self.current()
+        number, pointer = self._pointer()
+        before, inputs = pointer.get("generation"), catalog.fingerprints()
         try:
             names = list(only) if only is not None else list(builders)
             if unknown := set(names) - builders.keys():
@@ -86,6 +107,7 @@ class Publisher:
             indexes = dict((self.manifest(before) or {}).get("indexes", {})) if before and only is not None else {}
             for name in names:
                 df = builders[name](catalog)
+                inputs = catalog.fingerprints() | inputs  # those of the first reading stay
                 if df is None:
                     continue
                 path = f"{self.root}/{generation}/{name}"
@@ -94,17 +116,15 @@ class Publisher:
                 schema = hashlib.sha256(df.schema.json().encode()).hexdigest()[:12]
                 old = (self.manifest(before) or {}).get("indexes", {}).get(name) if before else None
                 indexes[name] = {"generation": generation, "rows": written.count(), "schema": schema, "schema_changed": bool(old and old["schema"] != schema)}
-            self._write(f"{generation}/manifest.json", {"generation": generation, "partial": only is not None, "previous": before, "indexes": indexes}, overwrite=False)
-            if self.current() != before:
-                raise PublicationError("the current generation has changed meanwhile")
-            self._write("CURRENT.json", {"generation": generation, "previous": before})
+            if changed := sorted(n for n, x in catalog.fingerprints().items() if inputs.get(n, x) != x):
+                raise PublicationError(f"inputs have changed meanwhile: {changed}")
+            self._write(f"{generation}/manifest.json", {"generation": generation, "partial": only is not None, "previous": before, "indexes": indexes, "inputs": inputs})
+            self._switch(generation, before, number)
             return generation
         except BaseException:
             if self.current() != generation:
                 self._fs.delete(self._path(f"{self.root}/{generation}"), True)
             raise
-        finally:
-            self._fs.delete(lock, False)
 
     def rollback(self, generation: str) -> None:
         """Switch to a kept generation, if all its documents are there and count as they did."""
@@ -115,4 +135,5 @@ class Publisher:
             path = f"{index['generation']}/{name}"
             if not self._exists(path) or self.spark.read.parquet(f"{self.root}/{path}").count() != index["rows"]:
                 raise PublicationError(f"{path} is missing or incomplete")
-        self._write("CURRENT.json", {"generation": generation, "previous": self.current()})
+        number, pointer = self._pointer()
+        self._switch(generation, pointer.get("generation"), number)

@@ -302,11 +302,11 @@ WITH rows AS (SELECT lei, 'norm' AS field, string_split(legal_name_norm, ' ') AS
 stats AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM rows GROUP BY 1),
 tf AS (SELECT field, lei, len(w) AS length, t, count(*) AS tf FROM (SELECT field, lei, w, unnest(w) AS t FROM rows) GROUP BY ALL),
 df AS (SELECT field, t, count(*) AS df FROM tf GROUP BY 1, 2),
-idx AS (SELECT t, tf.field, lei, df / docs AS share, (CASE tf.field WHEN 'norm' THEN 5 WHEN 'core' THEN 3 ELSE 2 END) * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS weight
+idx AS (SELECT t, tf.field, lei, (CASE tf.field WHEN 'norm' THEN 5 WHEN 'core' THEN 3 ELSE 2 END) * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS weight
   FROM tf JOIN df USING (field, t) JOIN stats USING (field)),
 q AS (SELECT lei AS query_id, legal_name_norm AS norm, CASE WHEN p_partkey % 40 = 0 THEN 'GB' ELSE 'KY' END AS country FROM register WHERE p_partkey % 20 = 0),
-asked AS (SELECT query_id, t, share, row_number() OVER (PARTITION BY query_id ORDER BY share, t) AS rarity FROM (SELECT DISTINCT query_id, unnest(string_split(norm, ' ')) AS t FROM q) JOIN (SELECT t, max(share) AS share FROM idx GROUP BY t) USING (t)),
-hits AS (SELECT query_id, lei, weight AS hit FROM asked JOIN idx USING (t) WHERE asked.share <= 0.02 OR rarity <= 2
+asked AS (SELECT DISTINCT query_id, unnest(string_split(norm, ' ')) AS t FROM q),
+hits AS (SELECT query_id, lei, weight AS hit FROM asked JOIN idx USING (t)
   UNION ALL SELECT query_id, lei, 4.0 FROM q JOIN register r ON replace(q.norm, ' ', '') = replace(r.legal_name_norm, ' ', '')),
 total AS (SELECT query_id, lei, sum(hit) AS hit FROM hits GROUP BY ALL),
 scored AS (SELECT t.query_id, t.lei, {score} AS score FROM total t JOIN q ON t.query_id = q.query_id JOIN register r ON t.lei = r.lei {where})
@@ -316,7 +316,7 @@ SELECT query_id, retrieval_rank, round(score, 4) AS score FROM (SELECT *, row_nu
 
 def _searched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     entries = register(spark, sf_dir)
-    found = matching.search(_queries(spark, sf_dir), entries, matching.build_index(entries), 20, mode, most_share=0.02)  # as the SQL
+    found = matching.search(_queries(spark, sf_dir), entries, matching.build_index(entries), 20, mode)
     return found.select("query_id", "retrieval_rank", F.round("retrieval_score", 4).alias("score"))
 
 

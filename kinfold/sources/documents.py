@@ -111,10 +111,11 @@ def cusip_work_list(holdings: DataFrame) -> DataFrame:
 
 
 def brochures(spark: SparkSession, path: str) -> DataFrame:
-    """Brochures by file name; the first listing of a file counts."""
+    """Brochures by file name; the first listing of a file counts, in the order of listing files and of their lines."""
     rows = pick(read_csv(spark, path), {"firm_name": "FirmName", "sec_number": "SECNumber", "crd_number": "CRDNumber", "filing_id": "FilingID", "brochure_name": "BrochureName", "brochure_id": "BrochureID", "brochure_version": "BrochureVersion", "date_filed": us_date("DateFiled"), "pdf_file_name": "PDFFileName"})
     order = Window.partitionBy("pdf_file_name").orderBy("_line")
-    return rows.withColumn("_line", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_line", "_n")
+    # numbers grow within a partition, and the parts of a file by their offsets, however files are split and packed
+    return rows.withColumn("_line", F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_line", "_n")
 
 
 def page_texts(spark: SparkSession, path: str, read_pages: Callable[[bytes], list[str]]) -> DataFrame:

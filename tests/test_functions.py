@@ -141,3 +141,9 @@ def test_latest_value_skips_nulls_and_lists_keep_order(spark):
     assert df.groupBy("k").agg(columns.latest_value("v", "d").alias("v")).first()["v"] == "b"
     got = df.groupBy("k").agg(columns.nested_list(columns.descending("d"), F.struct("v", "d")).alias("l")).first()["l"]
     assert [x["d"] for x in got] == [3, 2, 1, None]
+
+
+def test_every_state_is_in_the_united_states(spark):
+    codes = [*places.US_STATES, "England", " pr ", None]
+    rows = spark.createDataFrame([(c,) for c in codes], "c string").select(places.filer_country("c").alias("x")).collect()
+    assert len(places.US_STATES) == 52 and [r["x"] for r in rows] == ["US"] * 52 + ["ENGLAND", "US", None]

@@ -143,6 +143,16 @@ def test_hierarchy(spark):
     assert deep.up[0].up[0].lei == "c" and not deep.down and deep.up[0].up[0].up[0].lei == "a" and not deep.up[0].up[0].up[0].expanded
     small = hierarchy.hierarchy_tree(links, names, "a", depth=3, max_nodes=1)
     assert small.expanded and not any(n.expanded for n in [*small.up, *small.down])
+    kin = frame(spark, [("r", "p", "IS_DIRECTLY_CONSOLIDATED_BY", "ACTIVE"), ("s", "p", "IS_DIRECTLY_CONSOLIDATED_BY", "ACTIVE"), ("p", "g", "IS_DIRECTLY_CONSOLIDATED_BY", None), *[(f"k{i:02}", "r", "IS_FUND-MANAGED_BY", "ACTIVE") for i in range(40)]], rel)
+    silent = frame(spark, [("p", "ULTIMATE_ACCOUNTING_CONSOLIDATION_PARENT", "NO_LEI")], "lei string, exception_category string, exception_reason string")
+    wide = hierarchy.hierarchy_tree(kin, names, "r", depth=2, exceptions=silent)
+    parent = wide.up[0]
+    assert parent.expanded and (parent.relationship_type, parent.status) == ("IS_DIRECTLY_CONSOLIDATED_BY", "ACTIVE") and parent.exceptions == [{"label": "Ultimate parent", "reason": "parent has no LEI"}]
+    assert [(n.lei, n.expanded) for n in parent.down] == [("r", False), ("s", True)] and [n.lei for n in parent.up] == ["g"] and len(wide.down) == 40 and all(n.expanded for n in wide.down)
+    tight = hierarchy.hierarchy_tree(kin, names, "r", depth=2, max_nodes=5)  # parents come first
+    assert tight.up[0].expanded and sum(n.expanded for n in tight.down) == 2
+    far = hierarchy.hierarchy_tree(kin, names, "r", depth=1, extra_parent_depth=1)
+    assert far.up[0].expanded and far.up[0].up[0].lei == "g" and not far.up[0].up[0].expanded and not any(n.expanded for n in far.down)
     edges = links.selectExpr("start_node_id AS a", "end_node_id AS b")
     got = {(r["node"], r["hops"]) for r in hierarchy.reachable(edges, frame(spark, [("a",)], "node string"), 5).collect()}
     assert got == {("a", 0), ("b", 1), ("c", 2)}
@@ -261,6 +271,33 @@ def test_benchmark_run(spark):
 # --- publication ---
 
 
+def test_pointers_survive_crashes_and_races(spark, tmp_path):
+    spark.range(3).toDF("id").write.parquet(f"file://{tmp_path}/in/t.parquet")
+    c, p = Catalog(spark, f"file://{tmp_path}/in"), Publisher(spark, f"file://{tmp_path}/pub")
+    first = p.publish(c, {"one": lambda c: c["t"]})
+    assert set(p.manifest(first)["inputs"]) == {"t"}
+    (tmp_path / "pub" / "current" / "0000000002.json").write_text('{"gener')  # a run that was killed while it switched
+    assert p.current() == first
+    second = p.publish(c, {"one": lambda c: c["t"]})
+    assert p.current() == second and (tmp_path / "pub" / "current" / "0000000003.json").exists()
+
+    def outrun(c):
+        (tmp_path / "pub" / "current" / "0000000004.json").write_text((tmp_path / "pub" / "current" / "0000000003.json").read_text())
+        return c["t"]
+
+    with pytest.raises(PublicationError, match="exists"):
+        p.publish(c, {"one": outrun})
+
+    def change(c):
+        rows = c["t"].limit(1)
+        spark.range(9).toDF("id").write.mode("append").parquet(f"file://{tmp_path}/in/t.parquet")
+        return rows
+
+    with pytest.raises(PublicationError, match="inputs have changed"):
+        p.publish(Catalog(spark, f"file://{tmp_path}/in"), {"zero": lambda c: c["t"], "one": change})
+    assert p.current() == second and len([d for d in (tmp_path / "pub").iterdir() if d.is_dir() and d.name != "current"]) == 2
+
+
 def test_generations(spark, tmp_path):
     tables = {"t": spark.range(3).toDF("id")}
     c, p = Catalog(spark, tables=tables), Publisher(spark, f"file://{tmp_path}/pub")
