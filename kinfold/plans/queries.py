@@ -282,7 +282,21 @@ def name_variant_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register(spark, sf_dir).select("lei", query_.alias("query_name"), difficulty.alias("difficulty"))
 
 
-@query()
+#: Length of the longest common subsequence of da and db: a row of the table for each character of da.
+_LCS = """list_reduce(list_transform(string_split(da, ''), lambda c: [unicode(c)]),
+  lambda p, x: list_reduce(list_transform(range(1, length(db) + 1), lambda j: [j]), lambda r, j: list_append(r, CASE WHEN unicode(db[j[1]]) = x[1] THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], r[j[1]]) END), [0::BIGINT]),
+  list_transform(range(length(db) + 1), lambda z: 0::BIGINT))[-1]"""
+#: ratios (a, b, ratio) of the rows of pairs (a, b).
+_RATIOS = f"""
+sets AS (SELECT DISTINCT a, b, list_sort(list_distinct(list_filter(string_split(coalesce(a, ''), ' '), lambda w: w <> ''))) AS x, list_sort(list_distinct(list_filter(string_split(coalesce(b, ''), ' '), lambda w: w <> ''))) AS y FROM pairs),
+parts AS (SELECT a, b, len(x) AS nx, len(y) AS ny, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS i, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS da, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS db FROM sets),
+lengths AS (SELECT *, length(i)::DOUBLE AS s, (i <> '')::INT AS sep, length(da)::DOUBLE AS m, length(db)::DOUBLE AS n, {_LCS} AS lcs FROM parts),
+ratios AS (SELECT a, b, CASE WHEN nx = 0 OR ny = 0 THEN 0 WHEN i <> '' AND (da = '' OR db = '') THEN 1
+  ELSE greatest(CASE WHEN i = '' THEN 0 ELSE greatest(1 - (sep + m) / (2 * s + sep + m), 1 - (sep + n) / (2 * s + sep + n)) END, 1 - (m + n - 2 * lcs) / greatest(2 * (s + sep) + m + n, 1)) END::DOUBLE AS ratio FROM lengths)
+"""
+
+
+@query(f"WITH pairs AS (SELECT x.legal_name_norm AS a, y.legal_name_norm AS b FROM register x JOIN register y ON x.p_partkey + 64 = y.p_partkey), {_RATIOS} SELECT x.lei, a, b, round(ratio, 6) AS ratio FROM register x JOIN register y ON x.p_partkey + 64 = y.p_partkey JOIN ratios ON a = x.legal_name_norm AND b = y.legal_name_norm")
 def token_set_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = register(spark, sf_dir).select("lei", F.col("legal_name_norm").alias("a"), (F.substring("lei", 4, 15).cast("long") + 64).alias("k"))
     b = register(spark, sf_dir).select(F.substring("lei", 4, 15).cast("long").alias("k"), F.col("legal_name_norm").alias("b"))
@@ -309,9 +323,36 @@ asked AS (SELECT DISTINCT query_id, unnest(string_split(norm, ' ')) AS t FROM q)
 hits AS (SELECT query_id, lei, weight AS hit FROM asked JOIN idx USING (t)
   UNION ALL SELECT query_id, lei, 4.0 FROM q JOIN register r ON replace(q.norm, ' ', '') = replace(r.legal_name_norm, ' ', '')),
 total AS (SELECT query_id, lei, sum(hit) AS hit FROM hits GROUP BY ALL),
-scored AS (SELECT t.query_id, t.lei, {score} AS score FROM total t JOIN q ON t.query_id = q.query_id JOIN register r ON t.lei = r.lei {where})
-SELECT query_id, retrieval_rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lei) AS retrieval_rank FROM scored) WHERE retrieval_rank <= 20
+scored AS (SELECT t.query_id, t.lei, {score} AS score FROM total t JOIN q ON t.query_id = q.query_id JOIN register r ON t.lei = r.lei {where}),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lei) AS retrieval_rank FROM scored)
 """
+_SOFT = _BM25.format(score="CASE WHEN r.legal_country = q.country THEN hit + 8 ELSE hit * 0.3 END", where="")
+_SEARCHED = "SELECT query_id, retrieval_rank, round(score, 4) AS score FROM found WHERE retrieval_rank <= 20"
+_OF_KEY = """CASE WHEN {k} % 3 = 0 THEN 'EC' || {k} % 9 || 'N4AG' END AS {p}postcode, CASE WHEN {k} % 3 = 0 THEN 'EC' || {k} % 9 || 'N' END AS {p}outward, CASE WHEN {k} % 2 = 0 THEN 'london' END AS {p}city, CASE WHEN {k} % 6 = 0 THEN 'R' || {k} END AS {p}reg"""
+
+
+def _scored(most: int) -> str:
+    """CTEs up to scores: candidates of each query with every feature, its points and the score."""
+    worth = {
+        "name_exact": "100", "name_core_exact": "60", "country_exact": "15", "jurisdiction_exact": "25", "postcode_exact": "35", "postcode_prefix_exact": "15", "city_exact": "10", "registration_id_exact": "250",
+        "fund_number_exact": "20", "fund_number_conflict": "-100", "master_conflict": "-80", "feeder_conflict": "-80", "registration_id_conflict": "-250",
+    }
+    shown = {f: f"CASE WHEN {f} THEN {w}.0 ELSE 0.0 END::DOUBLE" for f, w in worth.items()}
+    shown = {"name_exact": shown.pop("name_exact"), "name_core_exact": shown.pop("name_core_exact"), "name_ratio": "40 * name_ratio", **shown}
+    listed = ", ".join(f"""CASE WHEN round({x}, 2) <> 0 THEN '"{f}":' || round({x}, 2)::DOUBLE::VARCHAR END""" for f, x in shown.items())
+    return f"""{_SOFT},
+asking AS (SELECT lei AS query_id, legal_name AS q_name, legal_name_norm AS q_norm, legal_name_core AS q_core, fund_number AS q_number, is_master AS q_master, is_feeder AS q_feeder, CASE WHEN p_partkey % 40 = 0 THEN 'GB' ELSE 'KY' END AS q_country, {_OF_KEY.format(k='p_partkey', p='q_')} FROM register WHERE p_partkey % 20 = 0),
+given AS (SELECT *, {_OF_KEY.format(k='p_partkey', p='')} FROM register),
+pairs AS (SELECT DISTINCT q_norm AS a, legal_name_norm AS b FROM found f JOIN asking USING (query_id) JOIN given g ON f.lei = g.lei WHERE retrieval_rank <= {most}),
+{_RATIOS},
+features AS (SELECT f.query_id, q_name, f.lei, retrieval_rank, q_master, q_feeder, is_master, is_feeder, q_country, q_postcode, q_reg,
+  q_norm = legal_name_norm AS name_exact, q_core <> '' AND q_core = legal_name_core AS name_core_exact, ratio AS name_ratio, CASE WHEN legal_country IS NOT NULL THEN q_country = legal_country END AS country_exact, q_country = coalesce(jurisdiction, '') AS jurisdiction_exact,
+  CASE WHEN q_postcode IS NOT NULL THEN coalesce(q_postcode = postcode, false) END AS postcode_exact, CASE WHEN q_outward IS NOT NULL AND outward IS NOT NULL THEN q_outward = outward END AS postcode_prefix_exact, CASE WHEN q_city IS NOT NULL THEN coalesce(q_city = city, false) END AS city_exact,
+  CASE WHEN q_reg IS NOT NULL THEN coalesce(q_reg = reg, false) END AS registration_id_exact, q_number = fund_number AS fund_number_exact, coalesce(q_number <> fund_number, false) AS fund_number_conflict,
+  (q_master OR q_feeder) AND q_master <> is_master AS master_conflict, (q_master OR q_feeder) AND q_feeder <> is_feeder AS feeder_conflict, coalesce(q_reg <> reg, false) AS registration_id_conflict
+  FROM found f JOIN asking USING (query_id) JOIN given g ON f.lei = g.lei JOIN ratios ON a = q_norm AND b = legal_name_norm WHERE retrieval_rank <= {most}),
+scores AS (SELECT *, 0.0::DOUBLE + {' + '.join(shown.values())} AS points, '{{{{' || array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ',') || '}}}}' AS evidence FROM features)
+""".replace("{{", "{").replace("}}", "}")
 
 
 def _searched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
@@ -320,12 +361,12 @@ def _searched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return found.select("query_id", "retrieval_rank", F.round("retrieval_score", 4).alias("score"))
 
 
-@query(_BM25.format(score="CASE WHEN r.legal_country = q.country THEN hit + 8 ELSE hit * CASE WHEN r.legal_country IS NULL THEN 0.3 ELSE 0.3 END END", where=""))
+@query(_SOFT + _SEARCHED)
 def soft_country_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "soft")
 
 
-@query(_BM25.format(score="hit", where="WHERE r.legal_country = q.country"))
+@query(_BM25.format(score="hit", where="WHERE r.legal_country = q.country") + _SEARCHED)
 def strict_country_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "strict")
 
@@ -346,18 +387,29 @@ def match_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.decide(rows).select("query_id", "decision", "lei", "gap", "runner_up_lei", F.col("n_competing").cast("int").alias("n_competing"))
 
 
-@query()
+@query(f"""{_scored(20)},
+best AS (SELECT *, row_number() OVER w AS rank, lead(lei) OVER w AS runner, lead(points) OVER w AS other, lead(is_master) OVER w AS om, lead(is_feeder) OVER w AS orf, max(points) OVER (PARTITION BY query_id) AS top FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY points DESC, retrieval_rank, lei)),
+near AS (SELECT *, sum((top - points <= 5)::INT) OVER (PARTITION BY query_id) AS close FROM best),
+judged AS (SELECT *, points >= 140 AND (other IS NULL OR points - other >= 30) AS auto, runner IS NOT NULL AND NOT q_master AND NOT q_feeder AND (is_master <> om OR is_feeder <> orf) AS unclear FROM near WHERE rank = 1),
+decided AS (SELECT *, CASE WHEN auto AND NOT unclear THEN 'AUTO_MATCH' WHEN auto OR points >= 90 THEN 'REVIEW' ELSE 'UNMATCHED' END AS d FROM judged)
+SELECT a.query_id, coalesce(d, 'UNMATCHED') AS decision, CASE WHEN d <> 'UNMATCHED' THEN lei END AS lei, CASE WHEN d <> 'UNMATCHED' THEN round(points, 4) END AS score, round(points - other, 4) AS gap, runner AS runner_up_lei,
+  CASE WHEN d <> 'AUTO_MATCH' AND close > 1 THEN close WHEN d IS NOT NULL THEN 0 END::BIGINT AS n_competing, CASE WHEN d <> 'UNMATCHED' THEN evidence END AS evidence,
+  CASE WHEN d = 'AUTO_MATCH' THEN NULL WHEN close > 1 THEN close || ' candidates lie within 5 points; the query cannot tell them apart' WHEN auto AND unclear THEN 'the best candidates differ in master or feeder status, of which the query says nothing'
+    WHEN d = 'REVIEW' THEN 'the best score, ' || round(points)::INT || ', is plausible but not enough to act on' WHEN d IS NOT NULL THEN 'the best score, ' || round(points)::INT || ', is too low' END AS reason,
+  CASE WHEN d = 'AUTO_MATCH' THEN '' WHEN d IS NOT NULL THEN concat_ws(',', CASE WHEN decided.q_postcode IS NULL THEN 'postcode' END, CASE WHEN decided.q_reg IS NULL THEN 'registration identifier' END) END AS missing_evidence
+FROM asking a LEFT JOIN decided ON a.query_id = decided.query_id
+""")
 def match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = matching.match_batch(_queries(spark, sf_dir), register(spark, sf_dir))
     return out.select("query_id", "decision", "lei", F.round("score", 4).alias("score"), F.round("gap", 4).alias("gap"), "runner_up_lei", "n_competing", F.to_json("evidence").alias("evidence"), "reason", F.array_join("missing_evidence", ",").alias("missing_evidence"))
 
 
-@query()
+@query(f"{_scored(5)} SELECT query_id, lei, name_exact, name_core_exact, country_exact, jurisdiction_exact, postcode_exact, postcode_prefix_exact, city_exact, registration_id_exact, fund_number_exact, fund_number_conflict, master_conflict, feeder_conflict, registration_id_conflict, round(name_ratio, 6) AS name_ratio, round(points, 6) AS score, evidence FROM scores")
 def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
     asked = _queries(spark, sf_dir)
     scored = matching.score(matching.search(asked, entries, matching.build_index(entries), 5).join(asked, "query_id"))
-    return scored.select("query_id", "lei", *matching.features(), "score", F.to_json("evidence").alias("evidence"))
+    return scored.select("query_id", "lei", *[f for f in matching.features() if f != "name_ratio"], F.round("name_ratio", 6).alias("name_ratio"), F.round("score", 6).alias("score"), F.to_json("evidence").alias("evidence"))
 
 
 @query()
