@@ -276,7 +276,13 @@ def derived_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(f["sum"]("l_extendedprice", "l_tax"), 2).alias("total"), f["ratio"]("l_tax", "l_discount").alias("ratio"), f["percent_change"]("l_tax", "l_discount").alias("change"), f["percent_of"]("l_tax", "l_quantity").alias("share"), formulas.balances("l_tax", "l_discount").alias("balances"))
 
 
-@query()
+#: A CRC-32 checksum of lei, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(lei, ''), lambda c: ascii(c)::BIGINT),
+  lambda c, x: list_reduce(range(8)::BIGINT[], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+_VARIANTS = f"variants AS (SELECT *, CASE bucket WHEN 0 THEN legal_name WHEN 1 THEN legal_name_core ELSE replace(legal_name_core, ' ', '') END AS query_name, CASE bucket WHEN 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM (SELECT *, {_CRC32} % 3 AS bucket FROM register))"
+
+
+@query(f"WITH {_VARIANTS} SELECT lei, query_name, difficulty FROM variants")
 def name_variant_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     query_, difficulty = evaluation.name_variant("lei", "legal_name", "legal_name_core")
     return register(spark, sf_dir).select("lei", query_.alias("query_name"), difficulty.alias("difficulty"))
@@ -318,7 +324,8 @@ tf AS (SELECT field, lei, len(w) AS length, t, count(*) AS tf FROM (SELECT field
 df AS (SELECT field, t, count(*) AS df FROM tf GROUP BY 1, 2),
 idx AS (SELECT t, tf.field, lei, (CASE tf.field WHEN 'norm' THEN 5 WHEN 'core' THEN 3 ELSE 2 END) * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS weight
   FROM tf JOIN df USING (field, t) JOIN stats USING (field)),
-q AS (SELECT lei AS query_id, legal_name_norm AS norm, CASE WHEN p_partkey % 40 = 0 THEN 'GB' ELSE 'KY' END AS country FROM register WHERE p_partkey % 20 = 0),
+{asking},
+q AS (SELECT query_id, q_norm AS norm, q_country AS country FROM asking),
 asked AS (SELECT DISTINCT query_id, unnest(string_split(norm, ' ')) AS t FROM q),
 hits AS (SELECT query_id, lei, weight AS hit FROM asked JOIN idx USING (t)
   UNION ALL SELECT query_id, lei, 4.0 FROM q JOIN register r ON replace(q.norm, ' ', '') = replace(r.legal_name_norm, ' ', '')),
@@ -326,12 +333,20 @@ total AS (SELECT query_id, lei, sum(hit) AS hit FROM hits GROUP BY ALL),
 scored AS (SELECT t.query_id, t.lei, {score} AS score FROM total t JOIN q ON t.query_id = q.query_id JOIN register r ON t.lei = r.lei {where}),
 found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lei) AS retrieval_rank FROM scored)
 """
-_SOFT = _BM25.format(score="CASE WHEN r.legal_country = q.country THEN hit + 8 ELSE hit * 0.3 END", where="")
-_SEARCHED = "SELECT query_id, retrieval_rank, round(score, 4) AS score FROM found WHERE retrieval_rank <= 20"
 _OF_KEY = """CASE WHEN {k} % 3 = 0 THEN 'EC' || {k} % 9 || 'N4AG' END AS {p}postcode, CASE WHEN {k} % 3 = 0 THEN 'EC' || {k} % 9 || 'N' END AS {p}outward, CASE WHEN {k} % 2 = 0 THEN 'london' END AS {p}city, CASE WHEN {k} % 6 = 0 THEN 'R' || {k} END AS {p}reg"""
+#: The queries asked: every 20th entity, with its own data and a country that is often wrong.
+_EACH_20TH = f"""asking AS (SELECT lei AS query_id, legal_name AS q_name, legal_name_norm AS q_norm, legal_name_core AS q_core, fund_number AS q_number, is_master AS q_master, is_feeder AS q_feeder, CASE WHEN p_partkey % 40 = 0 THEN 'GB' ELSE 'KY' END AS q_country,
+  {_OF_KEY.format(k='p_partkey', p='q_')} FROM register WHERE p_partkey % 20 = 0)"""
+
+
+def _soft(asking: str) -> str:
+    return _BM25.format(asking=asking, score="CASE WHEN q.country IS NULL THEN hit WHEN r.legal_country = q.country THEN hit + 8 ELSE hit * 0.3 END", where="")
+
+
+_SEARCHED = "SELECT query_id, retrieval_rank, round(score, 4) AS score FROM found WHERE retrieval_rank <= 20"
 
 
-def _scored(most: int) -> str:
+def _scored(most: int, asking: str = _EACH_20TH) -> str:
     """CTEs up to scores: candidates of each query with every feature, its points and the score."""
     worth = {
         "name_exact": "100", "name_core_exact": "60", "country_exact": "15", "jurisdiction_exact": "25", "postcode_exact": "35", "postcode_prefix_exact": "15", "city_exact": "10", "registration_id_exact": "250",
@@ -340,14 +355,13 @@ def _scored(most: int) -> str:
     shown = {f: f"CASE WHEN {f} THEN {w}.0 ELSE 0.0 END::DOUBLE" for f, w in worth.items()}
     shown = {"name_exact": shown.pop("name_exact"), "name_core_exact": shown.pop("name_core_exact"), "name_ratio": "40 * name_ratio", **shown}
     listed = ", ".join(f"""CASE WHEN round({x}, 2) <> 0 THEN '"{f}":' || round({x}, 2)::DOUBLE::VARCHAR END""" for f, x in shown.items())
-    return f"""{_SOFT},
-asking AS (SELECT lei AS query_id, legal_name AS q_name, legal_name_norm AS q_norm, legal_name_core AS q_core, fund_number AS q_number, is_master AS q_master, is_feeder AS q_feeder, CASE WHEN p_partkey % 40 = 0 THEN 'GB' ELSE 'KY' END AS q_country, {_OF_KEY.format(k='p_partkey', p='q_')} FROM register WHERE p_partkey % 20 = 0),
+    return f"""{_soft(asking)},
 given AS (SELECT *, {_OF_KEY.format(k='p_partkey', p='')} FROM register),
 pairs AS (SELECT DISTINCT q_norm AS a, legal_name_norm AS b FROM found f JOIN asking USING (query_id) JOIN given g ON f.lei = g.lei WHERE retrieval_rank <= {most}),
 {_RATIOS},
 features AS (SELECT f.query_id, q_name, f.lei, retrieval_rank, q_master, q_feeder, is_master, is_feeder, q_country, q_postcode, q_reg,
-  q_norm = legal_name_norm AS name_exact, q_core <> '' AND q_core = legal_name_core AS name_core_exact, ratio AS name_ratio, CASE WHEN legal_country IS NOT NULL THEN q_country = legal_country END AS country_exact, q_country = coalesce(jurisdiction, '') AS jurisdiction_exact,
-  CASE WHEN q_postcode IS NOT NULL THEN coalesce(q_postcode = postcode, false) END AS postcode_exact, CASE WHEN q_outward IS NOT NULL AND outward IS NOT NULL THEN q_outward = outward END AS postcode_prefix_exact, CASE WHEN q_city IS NOT NULL THEN coalesce(q_city = city, false) END AS city_exact,
+  q_norm = legal_name_norm AS name_exact, q_core <> '' AND q_core = legal_name_core AS name_core_exact, ratio AS name_ratio, CASE WHEN q_country IS NOT NULL AND legal_country IS NOT NULL THEN split_part(q_country, '-', 1) = legal_country END AS country_exact, CASE WHEN q_country IS NOT NULL THEN q_country = coalesce(jurisdiction, '') END AS jurisdiction_exact,
+  CASE WHEN q_postcode IS NOT NULL THEN coalesce(q_postcode = postcode, false) END AS postcode_exact, CASE WHEN q_outward IS NOT NULL AND outward IS NOT NULL THEN q_outward = outward END AS postcode_prefix_exact, CASE WHEN q_city IS NOT NULL THEN coalesce(lower(q_city) = city, false) END AS city_exact,
   CASE WHEN q_reg IS NOT NULL THEN coalesce(q_reg = reg, false) END AS registration_id_exact, q_number = fund_number AS fund_number_exact, coalesce(q_number <> fund_number, false) AS fund_number_conflict,
   (q_master OR q_feeder) AND q_master <> is_master AS master_conflict, (q_master OR q_feeder) AND q_feeder <> is_feeder AS feeder_conflict, coalesce(q_reg <> reg, false) AS registration_id_conflict
   FROM found f JOIN asking USING (query_id) JOIN given g ON f.lei = g.lei JOIN ratios ON a = q_norm AND b = legal_name_norm WHERE retrieval_rank <= {most}),
@@ -361,12 +375,12 @@ def _searched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return found.select("query_id", "retrieval_rank", F.round("retrieval_score", 4).alias("score"))
 
 
-@query(_SOFT + _SEARCHED)
+@query(_soft(_EACH_20TH) + _SEARCHED)
 def soft_country_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "soft")
 
 
-@query(_BM25.format(score="hit", where="WHERE r.legal_country = q.country") + _SEARCHED)
+@query(_BM25.format(asking=_EACH_20TH, score="hit", where="WHERE r.legal_country = q.country") + _SEARCHED)
 def strict_country_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "strict")
 
@@ -387,11 +401,15 @@ def match_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.decide(rows).select("query_id", "decision", "lei", "gap", "runner_up_lei", F.col("n_competing").cast("int").alias("n_competing"))
 
 
-@query(f"""{_scored(20)},
-best AS (SELECT *, row_number() OVER w AS rank, lead(lei) OVER w AS runner, lead(points) OVER w AS other, lead(is_master) OVER w AS om, lead(is_feeder) OVER w AS orf, max(points) OVER (PARTITION BY query_id) AS top FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY points DESC, retrieval_rank, lei)),
+#: Of each query the best candidate and what is decided, from scores.
+_DECIDED = """best AS (SELECT *, row_number() OVER w AS rank, lead(lei) OVER w AS runner, lead(points) OVER w AS other, lead(is_master) OVER w AS om, lead(is_feeder) OVER w AS orf, max(points) OVER (PARTITION BY query_id) AS top FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY points DESC, retrieval_rank, lei)),
 near AS (SELECT *, sum((top - points <= 5)::INT) OVER (PARTITION BY query_id) AS close FROM best),
 judged AS (SELECT *, points >= 140 AND (other IS NULL OR points - other >= 30) AS auto, runner IS NOT NULL AND NOT q_master AND NOT q_feeder AND (is_master <> om OR is_feeder <> orf) AS unclear FROM near WHERE rank = 1),
-decided AS (SELECT *, CASE WHEN auto AND NOT unclear THEN 'AUTO_MATCH' WHEN auto OR points >= 90 THEN 'REVIEW' ELSE 'UNMATCHED' END AS d FROM judged)
+decided AS (SELECT *, CASE WHEN auto AND NOT unclear THEN 'AUTO_MATCH' WHEN auto OR points >= 90 THEN 'REVIEW' ELSE 'UNMATCHED' END AS d FROM judged)"""
+
+
+@query(f"""{_scored(20)},
+{_DECIDED}
 SELECT a.query_id, coalesce(d, 'UNMATCHED') AS decision, CASE WHEN d <> 'UNMATCHED' THEN lei END AS lei, CASE WHEN d <> 'UNMATCHED' THEN round(points, 4) END AS score, round(points - other, 4) AS gap, runner AS runner_up_lei,
   CASE WHEN d <> 'AUTO_MATCH' AND close > 1 THEN close WHEN d IS NOT NULL THEN 0 END::BIGINT AS n_competing, CASE WHEN d <> 'UNMATCHED' THEN evidence END AS evidence,
   CASE WHEN d = 'AUTO_MATCH' THEN NULL WHEN close > 1 THEN close || ' candidates lie within 5 points; the query cannot tell them apart' WHEN auto AND unclear THEN 'the best candidates differ in master or feeder status, of which the query says nothing'
@@ -412,7 +430,19 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("query_id", "lei", *[f for f in matching.features() if f != "name_ratio"], F.round("name_ratio", 6).alias("name_ratio"), F.round("score", 6).alias("score"), F.to_json("evidence").alias("evidence"))
 
 
-@query()
+_QUERY_FIELDS = f"""q_core, CASE WHEN regexp_extract(q_core, '[^ ]+$') SIMILAR TO '[0-9]{{1,3}}' THEN regexp_extract(q_core, '[^ ]+$')::INT ELSE nullif(coalesce(list_position([{', '.join(f"'{r}'" for r in names.ROMAN)}], regexp_extract(q_core, '[^ ]+$')), 0), 0) END AS q_number,
+  list_contains(string_split(q_norm, ' '), 'master') AS q_master, list_contains(string_split(q_norm, ' '), 'feeder') AS q_feeder"""
+_CORE = f"regexp_replace(q_norm, '((^| )({'|'.join(names.LEGAL_SUFFIXES)}))+$', '')"
+_FILERS = f"""latest AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession_number DESC) = 1),
+filers AS (SELECT cik AS query_id, filer_name AS q_name, lower(filer_name) AS q_norm, CASE o_custkey % 3 WHEN 1 THEN 'X0' ELSE 'US' END AS q_country FROM latest),
+asking AS (SELECT query_id, q_name, q_norm, q_country, {_QUERY_FIELDS}, '10001' AS q_postcode, NULL AS q_outward, 'London' AS q_city, NULL AS q_reg FROM (SELECT *, {_CORE} AS q_core FROM filers))"""
+
+
+@query(f"""{_scored(20, _FILERS)},
+{_DECIDED}
+SELECT a.query_id AS cik, a.q_name AS filer_name, a.q_country AS resolved_country, CASE WHEN d <> 'UNMATCHED' THEN lei END AS lei, coalesce(d, 'UNMATCHED') AS decision, CASE WHEN d <> 'UNMATCHED' THEN round(points, 4) END AS score, '{Matching().fingerprint()}' AS config_hash
+FROM asking a LEFT JOIN decided ON a.query_id = decided.query_id
+""")
 def crosswalk_filers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = matching.crosswalk(catalog(spark, sf_dir)["sec_13f_filings"], register(spark, sf_dir), Matching())
     return out.select("cik", "filer_name", "resolved_country", "lei", "decision", F.round("score", 4).alias("score"), "config_hash")
@@ -439,12 +469,14 @@ def positives_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGGRESSIVE = "trim(regexp_replace(trim(regexp_replace(regexp_replace(legal_name_core, '\\b(master|feeder|offshore|domestic|umbrella)\\b', '', 'g'), '\\s+', ' ', 'g')), '\\s(i|ii|iii|iv|v|vi|vii|viii|ix|x|[0-9]{1,3})$', ''))"
 
 
-@query(f"""
-WITH c AS (SELECT *, {_AGGRESSIVE} AS a FROM register), f AS (SELECT * FROM c WHERE a <> '' AND length(a) - length(replace(a, ' ', '')) + 1 >= 3), g AS (SELECT a FROM f GROUP BY a HAVING count(*) BETWEEN 2 AND 10),
-p AS (SELECT x.lei AS lei_a, y.lei AS lei_b, x.a AS aggressive_core, CASE WHEN x.fund_number <> y.fund_number THEN 'fund_number' WHEN x.is_master <> y.is_master OR x.is_feeder <> y.is_feeder THEN 'master_feeder' ELSE 'other_same_core' END AS conflict_type
-  FROM f x JOIN f y ON x.a = y.a AND x.lei < y.lei JOIN g ON x.a = g.a)
-SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM register r WHERE r.legal_name_core = p.aggressive_core AND r.lei <> p.lei_a AND r.lei <> p.lei_b)
-""")
+_CONFUSABLE = f"""WITH c AS (SELECT *, {_AGGRESSIVE} AS a FROM register), f AS (SELECT * FROM c WHERE a <> '' AND length(a) - length(replace(a, ' ', '')) + 1 >= 3), g AS (SELECT a FROM f GROUP BY a HAVING count(*) BETWEEN 2 AND 10),
+p AS (SELECT x.lei AS lei_a, y.lei AS lei_b, x.a AS aggressive_core, x.jurisdiction, CASE WHEN x.fund_number <> y.fund_number THEN 'fund_number' WHEN x.is_master <> y.is_master OR x.is_feeder <> y.is_feeder THEN 'master_feeder' ELSE 'other_same_core' END AS conflict_type
+  FROM f x JOIN f y ON x.a = y.a AND x.lei < y.lei JOIN g ON x.a = g.a),
+confusable AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM register r WHERE r.legal_name_core = p.aggressive_core AND r.lei <> p.lei_a AND r.lei <> p.lei_b))
+"""
+
+
+@query(f"{_CONFUSABLE} SELECT lei_a, lei_b, aggressive_core, conflict_type FROM confusable")
 def confusable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusable_pairs(register(spark, sf_dir)).select("lei_a", "lei_b", "aggressive_core", "conflict_type")
 
@@ -454,13 +486,35 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.sample_per_group(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 30, 42).select("c_custkey", "c_mktsegment")
 
 
-@query()
+_PAIRS = f"""{_CONFUSABLE}, {_VARIANTS},
+isins AS (SELECT DISTINCT 'LEI' || lpad(l_partkey::VARCHAR, 15, '0') || '00' AS lei FROM lineitem WHERE l_linenumber <= 2),
+held AS (SELECT v.*, md5('42:' || lei) AS h FROM variants v SEMI JOIN isins USING (lei)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY jurisdiction ORDER BY h, lei) > 5000 // (SELECT count(DISTINCT coalesce(jurisdiction, '')) FROM held) AS later FROM held),
+easy AS (SELECT *, row_number() OVER (ORDER BY later, h, lei) - 1 AS i FROM ranked QUALIFY i < 5000),
+tough AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || lei_a || lei_b), lei_a || lei_b) - 1 AS i FROM confusable QUALIFY i < 1000),
+evaluated AS (SELECT printf('pos_%07d', i) AS pair_id, query_name, legal_country AS query_country, lei AS expected_lei, NULL::VARCHAR AS confusable_lei, 'isin_confirmed' AS case_type, difficulty, NULL::VARCHAR AS conflict_type, 'positives' AS source, CASE bucket WHEN 0 THEN legal_name_norm ELSE query_name END AS query_name_norm FROM easy
+  UNION ALL SELECT printf('neg_%07d', i), aggressive_core, jurisdiction, lei_a, lei_b, 'confusable_pair', 'hard', conflict_type, 'hard_negatives', aggressive_core FROM tough)
+"""
+
+
+@query(f"{_PAIRS} SELECT * FROM evaluated")
 def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
     return evaluation.evaluation_pairs(evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"]), evaluation.confusable_pairs(entries), Benchmark())
 
 
-@query()
+_ASKED_PAIRS = f"""asking AS (SELECT query_id, q_name, q_norm, q_country, {_QUERY_FIELDS}, NULL::VARCHAR AS q_postcode, NULL::VARCHAR AS q_outward, NULL::VARCHAR AS q_city, NULL::VARCHAR AS q_reg
+  FROM (SELECT pair_id AS query_id, query_name AS q_name, query_name_norm AS q_norm, query_country AS q_country, {_CORE.replace('q_norm', 'query_name_norm')} AS q_core FROM evaluated))"""
+
+
+@query(f"""{_PAIRS}, {_scored(20, _ASKED_PAIRS).strip()[5:]},
+{_DECIDED},
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, retrieval_rank) AS place FROM scores),
+answers AS (SELECT e.*, place AS rank, coalesce(d, 'UNMATCHED') AS decision, CASE WHEN d <> 'UNMATCHED' THEN decided.lei END AS chosen FROM evaluated e LEFT JOIN places ON places.query_id = pair_id AND places.lei = expected_lei LEFT JOIN decided ON decided.query_id = pair_id),
+told AS (SELECT *, decision = 'AUTO_MATCH' AS auto, coalesce(chosen = expected_lei, false) AS ok, coalesce(chosen = confusable_lei, false) AS mixed_up FROM answers)
+SELECT case_type, count(*) AS n, round(avg((coalesce(rank, 99) <= 20)::INT), 4) AS recall, round(avg((coalesce(rank, 0) = 1)::INT), 4) AS top1, round(avg(coalesce(1 / rank, 0)), 4) AS mrr, round(avg(auto::INT), 4) AS auto_rate, round(avg((decision = 'REVIEW')::INT), 4) AS review_rate,
+  round(avg(CASE WHEN auto THEN ok::INT END), 4) AS auto_precision, round(avg((auto AND ok)::INT), 4) AS coverage, round(avg((auto AND (mixed_up OR NOT ok))::INT), 4) AS dangerous_rate FROM told GROUP BY case_type
+""")
 def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
     found = evaluation.positives(entries, catalog(spark, sf_dir)["isin_lei"])
