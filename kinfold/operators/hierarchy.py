@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .relational import cut_lineage
+
 # Labels of relationship types seen from below and from above, and of reporting exceptions.
 LABELS = {
     "IS_DIRECTLY_CONSOLIDATED_BY": ("Direct parent", "Subsidiaries (direct)"),
@@ -57,14 +59,15 @@ def open_exceptions(exceptions: DataFrame, relationships: DataFrame) -> DataFram
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, hops): nodes within depth hops along edges (a to b), at their least distance; cycles end.
 
-    Each hop is one join and one aggregation; what was reached before is not followed again.
+    Each hop is one join and one aggregation; what was reached before is not followed again. Fronts are written, so a
+    hop does not repeat those before it.
     """
     steps = edges.select("a", "b").distinct()
     front = roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("hops"))
     seen = front
     for hop in range(1, depth + 1):
         front = front.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), F.lit(hop).alias("hops")).distinct()
-        front = front.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "hops")
+        front = cut_lineage(front.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "hops"))
         seen = seen.unionByName(front)
     return seen
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 from kinfold.functions.columns import col
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written below spark.checkpoint.dir; a folder of our own only where none is set and all tasks run in this process."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="kinfold-"))
+    return df.checkpoint()
+
+
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
     """All rows; columns that a table lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

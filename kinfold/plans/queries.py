@@ -448,7 +448,18 @@ def crosswalk_filers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cik", "filer_name", "resolved_country", "lei", "decision", F.round("score", 4).alias("score"), "config_hash")
 
 
-@query()
+_BRANDED = f"""branded AS (SELECT *, CASE WHEN regexp_full_match(legal_name_core, '.+ ({_TAIL})') THEN regexp_replace(legal_name_core, '( ({_ANY}))*( ({_TAIL}))$', '') ELSE legal_name_core END AS brand,
+  CASE WHEN fund_number IS NOT NULL OR is_master OR is_feeder OR list_has_any(string_split(legal_name_norm, ' '), [{', '.join(f"'{w}'" for w in names.FUND_WORDS)}]) THEN 'fund' ELSE 'management' END AS role FROM register),
+asking AS (SELECT lei AS query_id, brand AS q_norm, legal_country AS q_country FROM branded WHERE p_partkey % 100 = 0)"""
+
+
+@query(f"""{_soft(_BRANDED)},
+members AS (SELECT f.query_id, b.lei, CASE WHEN b.brand = o.brand THEN 'high' WHEN starts_with(b.brand, o.brand || ' ') THEN 'possible' END AS tier, b.role FROM found f JOIN branded b ON f.lei = b.lei JOIN branded o ON o.lei = f.query_id WHERE retrieval_rank <= 100 AND o.brand <> '' AND b.brand <> ''),
+family AS (SELECT * FROM members WHERE tier IS NOT NULL),
+tied AS (SELECT x.query_id, s, e FROM relationships JOIN family x ON x.lei = s JOIN family y ON y.lei = e AND x.query_id = y.query_id WHERE status = 'ACTIVE'),
+sure AS (SELECT query_id, s AS lei FROM tied UNION SELECT query_id, e FROM tied)
+SELECT f.query_id, f.lei, tier, role, sure.lei IS NOT NULL AS graph_confirmed FROM family f LEFT JOIN sure ON f.query_id = sure.query_id AND f.lei = sure.lei
+""")
 def family_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = register(spark, sf_dir)
     asked = entries.where("bigint(substring(lei, 4, 15)) % 100 = 0").select(F.col("lei").alias("query_id"), F.col("legal_name").alias("name"), F.col("legal_country").alias("country"))
@@ -667,29 +678,20 @@ def hierarchy_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.open_exceptions(c["gleif_relationship_exceptions"], c["gleif_relationships"]).select("lei", "exception_category", "label", "reason_text")
 
 
-def _reachable(spark: SparkSession, sf_dir: str, roots: str) -> DataFrame:
-    c = catalog(spark, sf_dir)
-    edges = c["gleif_relationships"].where("relationship_status = 'ACTIVE'").selectExpr("start_node_id AS a", "end_node_id AS b")
-    return hierarchy.reachable(edges, c["gleif_entities"].where(roots).select(F.col("lei").alias("node")), 4)
-
-
 @query("""
-WITH RECURSIVE walk(root, node, hops) AS (SELECT lei, lei, 0 FROM register WHERE p_partkey % 50 = 3 UNION SELECT root, e, hops + 1 FROM walk JOIN relationships ON s = node WHERE status = 'ACTIVE' AND hops < 4)
+WITH walk(root, node, hops) AS (SELECT lei, lei, 0 FROM register UNION SELECT root, e, hops + 1 FROM walk JOIN relationships ON s = node WHERE status = 'ACTIVE' AND hops < 4)
 SELECT root, node, min(hops)::INT AS hops FROM walk GROUP BY ALL
-""".replace("WITH RECURSIVE", "WITH"))
+""")
 def recursive_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reachable(spark, sf_dir, "bigint(substring(lei, 4, 15)) % 50 = 3")  # as the SQL
+    """From every entity."""
+    c = catalog(spark, sf_dir)
+    edges = c["gleif_relationships"].where("relationship_status = 'ACTIVE'").selectExpr("start_node_id AS a", "end_node_id AS b")
+    return hierarchy.reachable(edges, c["gleif_entities"].select(F.col("lei").alias("node")), 4)
 
 
 ORACLES["recursive_reachability"] = ORACLES["recursive_reachability"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query()
-def whole_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recursive_reachability from every entity; compared with brute force by the tests."""
-    return _reachable(spark, sf_dir, "true")
-
-
 @query("SELECT lei AS entity_id, legal_name AS canonical_name, jurisdiction, entity_status, 'GENERAL' AS entity_type FROM register")
 def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.build_entities(register(spark, sf_dir)).select("entity_id", "canonical_name", "jurisdiction", "entity_status", "entity_type")

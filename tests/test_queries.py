@@ -51,7 +51,7 @@ def test_reachability_from_every_entity(spark, sf_dir):
             front = {b for a in front for b in steps.get(a, ())} - hops.keys()
             hops |= dict.fromkeys(front, hop)
         expected |= {(root, node, n) for node, n in hops.items()}
-    got = [(r["root"], r["node"], r["hops"]) for r in QUERIES["whole_reachability"](spark, sf_dir).collect()]
+    got = [(r["root"], r["node"], r["hops"]) for r in QUERIES["recursive_reachability"](spark, sf_dir).collect()]
     assert len(got) == len(expected) and set(got) == expected
     assert len({x[0] for x in got}) == register(spark, sf_dir).count()
 
