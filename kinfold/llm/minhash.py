@@ -8,8 +8,10 @@ With 32 bands of 5, two texts of similarity 0.8 miss all buckets with probabilit
 Equal sets are one unit. Of all buckets with the same members one is kept. Links are then sought in rounds, each of
 which costs at most a pair for each unit: first with the least unit of a bucket, then, in buckets that still hold
 several components, with a pivot drawn anew. In these rounds sizes that rule a link out and signatures that disagree
-in a quarter of their bits (six standard errors below similarity 0.8) are skipped. What is left is compared in full:
-each unit outside its bucket's largest component with all units of other components, in blocks of bounded size,
+in a quarter of their bits (six standard errors below similarity 0.8) are skipped. What is left is compared in full.
+Buckets of more than LARGE blocks are first replaced by those of the units' rarest shingles: of n shingles, ordered by
+how many of these units have them, the first n - 0.8 n + 1 of any two linked units have one in common, so no link is
+lost, while texts that only share a template part. Then each unit outside its bucket's largest component with all units of other components, in blocks of bounded size,
 each of which counts the common shingles of its texts at once and gives a spanning forest of its links, so no more
 links than texts are emitted. All links are verified on whole sets. They are closed to components by star contraction, and the
 least id names a component.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, ship_by_value, stash, text_slices
@@ -36,6 +38,8 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 #: Rounds with drawn pivots before the rest is compared in full; pairs that are broadcast at most; units of a block.
 PIVOT_ROUNDS, BROADCAST_PAIRS, BLOCK = 2, 200_000, 512
+#: Blocks on a side beyond which a bucket is cut up by rarest shingles.
+LARGE = 16
 #: Shingles whose counts are made at once.
 STRIPE = 1 << 12
 #: Bits of a signature that two texts must share: of 160, 144 are expected at similarity 0.8, with a standard error of 3.8.
@@ -240,13 +244,46 @@ def spanning(left: list[int], right: list[int], links: np.ndarray) -> np.ndarray
     return np.array(keep, np.int64)
 
 
-@scratch
-def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified links (u, v) between components c within each bucket of open_ (bucket, unit, c), in blocks."""
+def _same_members(members: DataFrame, bucket: str, *more: str) -> DataFrame:
+    """The least of all buckets with the same members, of which there are several, as (bucket, least, more)."""
+    groups = members.groupBy(bucket).agg(F.min("unit").alias("least"), F.max("unit").alias("most"), F.expr("bit_xor(xxhash64(unit))").alias("x"), F.count("*").alias("size"), *[F.expr(m) for m in more]).where("least < most")
+    return groups.groupBy("least", "most", "x", "size", *[m.rsplit(" ", 1)[1] for m in more]).agg(F.min(bucket).alias("bucket"))
+
+
+def _by_rarest(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, unit, c) of the units of open_, with a bucket for each shingle that two of them have among their rarest."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch.column(2), BATCH_BYTES):
+                hashes, offsets = shingle_sets(batch.column(2).slice(a, b - a).cast(pa.binary()).to_pylist(), size)
+                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sets], ["unit", "c", "shingles"])
+
+    sets = stash(open_.select("unit", "c").distinct().join(texts, "unit").select("unit", "c", "text").mapInArrow(spell, "unit long, c long, shingles array<long>"), "sets")
+    rows = sets.select("unit", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = stash(rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1"), "shared-shingles")
+    rows = rows.join(held, "s", "left").withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(F.coalesce("k", F.lit(1)), "s")))
+    rare = stash(rows.where(f"rank <= n - ceil({percent} * n / 100) + 1 AND k > 1").select(F.col("s").alias("bucket"), "unit", "c"), "rarest-shingles")
+    kept = _same_members(rare, "bucket", "min(c) AS low", "max(c) AS high").where("low < high").select("bucket")
+    return stash(rare.join(kept, "bucket"), "rarest-shingles")
+
+
+def _shaped(open_: DataFrame) -> DataFrame:
+    """open_ with its bucket's largest component (main), and the numbers of blocks outside it (ni) and of all (nj)."""
     counts = open_.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     shape = counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
     shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"))
-    rows = open_.join(stash(shape, "shapes"), "bucket")
+    return open_.join(stash(shape, "shapes"), "bucket")
+
+
+@scratch
+def _compared(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between components c within each bucket of open_ (bucket, unit, c), in blocks."""
+    rows = _shaped(open_)
+    large = rows.where(F.col("nj") > LARGE)
+    if not large.isEmpty():
+        rows = rows.where(F.col("nj") <= LARGE).unionByName(_shaped(_by_rarest(large.select("bucket", "unit", "c"), texts, size, percent)))
     outside = rows.where("c <> main").select("bucket", F.pmod(F.xxhash64("unit"), "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "unit", "c", F.lit(0).alias("role"))
     every = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(F.xxhash64("unit", F.lit(1)), "nj").cast("int").alias("j"), "unit", "c", F.lit(1).alias("role"))
     dealt = outside.unionByName(every).join(texts, "unit").select("bucket", "i", "j", "unit", "c", "role", "text")
@@ -310,8 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = stash(named.groupBy("unit", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(3)]), "units")
     banded = named.alias("s").join(units.alias("u"), (F.col("s.unit") == F.col("u.unit")) & (F.col("s.id") == F.col("u.rep")))
     banded = banded.select(F.col("s.unit").alias("unit"), F.explode("s.bands").alias("bucket")).distinct()
-    groups = banded.groupBy("bucket").agg(F.min("unit").alias("least"), F.max("unit").alias("most"), F.expr("bit_xor(xxhash64(unit))").alias("x"), F.count("*").alias("size")).where("least < most")
-    groups = stash(groups.groupBy("least", "most", "x", "size").agg(F.min("bucket").alias("bucket")), "buckets")
+    groups = stash(_same_members(banded, "bucket"), "buckets")
     members = stash(banded.join(groups.select("bucket", "least"), "bucket"), "members")
     used = members.select("unit").distinct()
     members = stash(members.join(units.select("unit", "n", "b0", "b1", "b2"), "unit"), "members")

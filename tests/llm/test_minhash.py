@@ -105,3 +105,33 @@ def test_components(spark):
             parent[max(p, q)] = min(p, q)
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("edits", [6, 14])
+def test_large_buckets_are_cut_up_without_losing_links(spark, monkeypatch, edits):
+    """Every open bucket is cut up by rarest shingles, and no pivot round helps."""
+    monkeypatch.setattr(M, "LARGE", 0)
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "PIVOT_ROUNDS", 0)
+    rnd = random.Random(edits)
+    docs = []
+    for k in range(160):
+        w = [f"w{i}" for i in range(150)]
+        for _ in range(rnd.randint(0, edits)):
+            w[rnd.randrange(150)] = f"x{rnd.randrange(40)}"
+        docs.append((100 + k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert collections.Counter(map(tuple, M.near_duplicates(df, size=4).collect())) == brute(docs, 4)
+
+
+def test_texts_of_one_template_give_no_candidates(spark):
+    """Similar beyond chance but unlinked: the shingles that they share are not among their rarest, so work is linear."""
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for k in range(1500):
+        text = " ".join(template + [f"own{k}x{i}" for i in range(40)])
+        rows.append((1, k, k, text))
+    df = spark.createDataFrame(rows, "bucket long, unit long, c long, text string")
+    assert M._by_rarest(df.drop("text"), df.select("unit", "text"), 5, 80).count() == 0
+    alike = spark.createDataFrame([(1, k, k, r[3] + " tail" * (k > 1)) for k, r in enumerate(rows[:1] * 3)], "bucket long, unit long, c long, text string")
+    assert M._by_rarest(alike.drop("text"), alike.select("unit", "text"), 5, 80).select("unit").distinct().count() == 3
