@@ -7,8 +7,8 @@ words leave. Words of more than LONG_WORD bytes would take a round for almost ev
 by rank and place instead, which gives the same merges. Memory is bounded by the batch and by the word cache, which
 is emptied when it is full.
 
-Letters, digits and cases are those of the installed regex library and of unicodedata; code points that only the
-newest Unicode versions assign may differ from other engines.
+Letters, digits, cases and combining marks are those of the tokenizers library, which the driver asks once about every
+code point; the few of which Python's own modules know something else take a path of their own.
 
 Null text counts as empty: no ids, an empty decoded text. Repeated rows give repeated results; row order and
 extra input columns do not matter.
@@ -40,6 +40,16 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.int64(1 << 62)
 
 
+class Classes(NamedTuple):
+    """What the tokenizers library knows of characters; texts are the insides of regular expression classes."""
+
+    letter: str
+    digit: str
+    starter: str  # marks and second halves that its NFC leaves where they are, as it knows an older Unicode
+    lower: dict[int, str]  # lower cases that Python does not know
+    odd: str  # all code points of which Python's modules know something else
+
+
 class Vocabulary(NamedTuple):
     """What executors get once, by broadcast; its size is the vocabulary's."""
 
@@ -50,6 +60,36 @@ class Vocabulary(NamedTuple):
     inner: np.ndarray  # symbol of a byte
     last: np.ndarray  # symbol of a byte that ends its word
     special: dict[str, int]
+    classes: Classes
+
+
+def _inside(chars: set[str]) -> str:
+    """The inside of a class of these characters, by ranges; an empty set gives a surrogate, which no text has."""
+    points = np.array(sorted(map(ord, chars)) or [0xD800])
+    cut = np.flatnonzero(np.diff(points) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[np.r_[0, cut + 1]].tolist(), points[np.r_[cut, len(points) - 1]].tolist(), strict=True))
+
+
+def library_classes() -> Classes:
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != ord("\n")]
+    text = "".join(every)
+
+    def of_class(pattern: str) -> set[str]:
+        return set("".join([run for run, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)]))
+
+    def each(normalizer: normalizers.Normalizer, before: str = "", after: str = "") -> list[str]:
+        return normalizer.normalize_str("\n".join([before + c + after for c in every])).split("\n")
+
+    letter, digit = of_class(r"\p{L}"), of_class(r"\p{N}")
+    lower = {ord(c): low for c, low in zip(every, each(normalizers.Lowercase()), strict=True) if low != c.replace("Σ", "σ").lower()}
+    # a mark between a letter and two others changes their order or bars their composition
+    marks = "\u0327\u0301"
+    starter = {c for c, got in zip(every, each(normalizers.NFC(), "a", marks), strict=True) if got != unicodedata.normalize("NFC", "a" + c + marks)}
+    starter |= {unicodedata.normalize("NFD", c)[-1] for c, got in zip(every, each(normalizers.NFD()), strict=True) if got != unicodedata.normalize("NFD", c)}
+    odd = starter | set(map(chr, lower)) | (letter ^ set(regex.findall(r"\p{L}", text))) | (digit ^ set(regex.findall(r"\p{N}", text)))
+    return Classes(_inside(letter), _inside(digit), _inside(starter), lower, _inside(odd))
 
 
 def _byte_chars() -> list[str]:
@@ -72,7 +112,7 @@ def load_vocabulary(path: str) -> Vocabulary:
     order = np.argsort(keys)
     chars = _byte_chars()
     inner, last = (np.array([vocab[c + end] for c in chars], np.int64) for end in ("", suffix))
-    return Vocabulary(tokens, keys[order], ranks[order], merged[order], inner, last, special)
+    return Vocabulary(tokens, keys[order], ranks[order], merged[order], inner, last, special, library_classes())
 
 
 def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +195,8 @@ class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.words = regex.compile(WORD_PATTERN.format(letter=r"\p{L}", digit=r"\p{N}", space=SPACE))
+        self.exact_words = re.compile(WORD_PATTERN.format(letter=vocab.classes.letter, digit=vocab.classes.digit, space=SPACE))
+        self.odd, self.starter = re.compile(f"[{vocab.classes.odd}]"), re.compile(f"([{vocab.classes.starter}])")
         self.ascii_words = re.compile(WORD_PATTERN.format(letter="a-z", digit="0-9", space=SPACE))
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) or r"(?!)")
         self.forget()
@@ -166,6 +208,9 @@ class Encoder:
     def _split(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
+        if self.odd.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in self.starter.split(text)])
+            return self.exact_words.findall(text.translate(self.vocab.classes.lower).replace("Σ", "σ").lower())
         # one character at a time there is no final sigma, which str.lower() knows
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 

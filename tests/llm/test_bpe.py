@@ -37,6 +37,26 @@ def test_equals_the_library(library):
             assert decoded[k] == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library(library):
+    """Each in five neighbourhoods: alone, after a letter, before marks, after marks, and among digits and capitals."""
+    encoder = bpe.Encoder(bpe.load_vocabulary(PATH))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 1 << 16):
+        part = [f"{c} a{c}b a{c}\u0327\u0301x e\u0301\u0327{c} 1{c}Z" for c in points[start : start + (1 << 16)]]
+        encoder.forget()
+        ids, offsets, _ = encoder.encode(part)
+        for k, got in enumerate(library.encode_batch(part, add_special_tokens=False)):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == got.ids, hex(ord(points[start + k]))
+
+
+def test_new_composites_stay_apart(library):
+    encoder = bpe.Encoder(bpe.load_vocabulary(PATH))
+    texts = ["\U00011935\U00011930", "\U00011938\u0301", "x\U00011935\u0327\U00011930y", "\u1df6\u0301e\u0301", "\U00016ea0\U00016eb8 \u1c89"]
+    ids, offsets, _ = encoder.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_table(spark, clash, library, sf_dir, monkeypatch):
     monkeypatch.setattr(bpe, "BATCH_BYTES", 50)
     df = clash(spark.createDataFrame([(i, t) for i, t in enumerate([None, *texts()[:60]])] + [(None, "x")], "doc_id long, text string"))
