@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 class Catalog:
-    """Named tables: DataFrames given, else Parquet below root."""
+    """Named tables: DataFrames given, or functions that make them when first asked for, else Parquet below root."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, tables: Mapping[str, DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, tables: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None) -> None:
         self.spark, self.root, self._tables = spark, root, dict(tables or {})
 
     def get(self, name: str) -> DataFrame | None:
@@ -23,7 +23,10 @@ class Catalog:
             except AnalysisException as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-        return self._tables.get(name)
+        table = self._tables.get(name)
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
 
     def __getitem__(self, name: str) -> DataFrame:
         table = self.get(name)
@@ -45,7 +48,7 @@ class Catalog:
     def fingerprints(self) -> dict[str, str]:
         """Of each table read so far: a hash of its schema and of its files' names, sizes and times."""
         found = {}
-        for name, table in sorted(self._tables.items()):
+        for name, table in sorted((n, t) for n, t in self._tables.items() if not callable(t)):
             files: list[tuple[str, int, int]] = []
             if self.root:
                 target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.parquet")

@@ -73,7 +73,7 @@ def as_bigint(c: Column | str) -> Column:
 def double_text(c: Column | str) -> Column:
     """Text of a double without exponent: 100.0, 0.0001."""
     plain = col(c).cast("decimal(38,12)").cast("string")
-    trimmed = F.regexp_replace(plain, r"0+$", "")
+    trimmed = F.rtrim(plain, F.lit("0"))
     return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.catalog import Catalog, optional
@@ -218,9 +218,20 @@ IDENTIFIERS = [
 
 
 def _facts(t: DataFrame, id_parts: list[Column], subject: Column, obj: Column, facts: list[tuple[str, Column, Column, Column]], as_of: str, source: str, document: Column, ref: Column, locator: Callable[[Column], Column], suffix: str | None = None) -> DataFrame:
-    """A row for each fact (predicate, value text, unit, field) that has a value; its id is the SHA-256 of its address."""
-    t = t.withColumns({"_subject": subject, "_object": obj, "_as_of": F.col(as_of), "_document": document, "_ref": ref, "_id": F.concat(*id_parts)})
-    rows = unpivot(t, ["_subject", "_object", "_as_of", "_document", "_ref", "_id", *PROVENANCE], [{"predicate": F.lit(p), "value": v, "unit": u, "field": f} for p, v, u, f in facts])
+    """A row for each fact (predicate, value text, unit, field) that has a value; its id is the SHA-256 of its address.
+
+    Addresses of different sources never agree, so each source keeps its newest facts itself: its rows are sorted once
+    by address before they are spread over their facts, and a fact comes from the first row that has a value for it.
+    A row without an address has no facts.
+    """
+    keep = ["_subject", "_object", "_as_of", "_document", "_ref", "_id", *PROVENANCE]
+    cells = {f"_{kind}{i}": c for i, (_, *row) in enumerate(facts) for kind, c in zip(("value", "unit", "field"), row, strict=True)}
+    t = t.select(subject.alias("_subject"), obj.alias("_object"), F.col(as_of).alias("_as_of"), document.alias("_document"), ref.alias("_ref"), F.concat(*id_parts).alias("_id"), *PROVENANCE, *[c.alias(n) for n, c in cells.items()]).where("_id IS NOT NULL")
+    # the hash sorts by its prefix, which addresses of one source share
+    address = Window.partitionBy(F.xxhash64("_id"), "_id").orderBy(F.col("snapshot_date").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in t.columns if c not in ("_id", "snapshot_date")])
+    so_far = address.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumns({f"_n{i}": F.count(f"_value{i}").over(so_far) for i in range(len(facts))})
+    rows = unpivot(t, keep, [{"predicate": F.lit(p), "value": F.when(F.col(f"_n{i}") == 1, F.col(f"_value{i}")), "unit": F.col(f"_unit{i}"), "field": F.col(f"_field{i}")} for i, (p, *_) in enumerate(facts)])
     ident = F.concat(F.col("_id"), F.lit(suffix) if suffix else F.col("predicate"))
     return rows.select(
         F.sha2(ident, 256).alias("fact_id"), F.col("_subject").alias("subject_node_id"), F.col("_object").alias("object_node_id"), "predicate", "value", "unit", F.col("_as_of").alias("as_of"),
@@ -247,7 +258,7 @@ def _decision_facts(c: Catalog) -> DataFrame:
         F.concat(F.lit("match.feature."), "feature").alias("predicate"), double_text("points").alias("value"), F.lit("points").alias("unit"), F.col("snapshot_date").alias("as_of"), F.lit("sec_13f_crosswalk").alias("source"),
         F.lit(file).alias("document_id"), F.col("cik").alias("source_record_ref"), F.concat(F.lit(f"{file}:cik="), "cik", F.lit(":feature_contributions."), "feature").alias("locator"), *PROVENANCE,
     )
-    return out.unionByName(more)
+    return out.unionByName(_newest(more.where("fact_id IS NOT NULL"), "facts"))
 
 
 def _review_facts(c: Catalog) -> DataFrame:
@@ -301,10 +312,16 @@ FACTS: list[tuple[tuple[str, ...], Callable[[Catalog], DataFrame]]] = [
 KEYS = {"nodes": ["node_id"], "edges": ["start_node_id", "end_node_id", "edge_type", "source"], "identifiers": ["node_id", "identifier_type", "identifier_value", "source"], "facts": ["fact_id"]}
 
 
+def _newest(t: DataFrame, kind: str) -> DataFrame:
+    first = ["source", "source_record_ref", "source_file"]
+    return dedupe_latest(t, KEYS[kind], ties=[*first, *[c for c in t.columns if c not in first and c not in KEYS[kind]]])
+
+
 def build_graph(c: Catalog) -> dict[str, DataFrame]:
     """nodes, edges, identifiers and facts; a kind that no source has is left out.
 
-    Newest snapshot first; ties go by source and record and then by all other columns, so that reruns agree.
+    Newest snapshot first; ties go by source and record and then by all other columns, so that reruns agree. Facts
+    come from their sources without older ones.
     """
     found = {
         "nodes": [r.rows(c[r.table]) for r in NODES if r.table in c],
@@ -313,5 +330,4 @@ def build_graph(c: Catalog) -> dict[str, DataFrame]:
         "facts": [rows(c) for tables, rows in FACTS if all(t in c for t in tables)],
     }
     united = {kind: union_by_name(tables) for kind, tables in found.items() if tables}
-    first = ["source", "source_record_ref", "source_file"]
-    return {kind: dedupe_latest(t, KEYS[kind], ties=[*first, *[c for c in t.columns if c not in first and c not in KEYS[kind]]]) for kind, t in united.items()}
+    return {kind: t if kind == "facts" else _newest(t, kind) for kind, t in united.items()}

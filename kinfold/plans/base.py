@@ -6,6 +6,8 @@ for the engine that checks the results; the two are written apart on purpose.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,59 +47,58 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """All tables in their roles, by the names that graph, documents and reads look up."""
-    t = lambda n: table(spark, sf_dir, n)
+    t = cache(lambda n: table(spark, sf_dir, n))
     day = "date_add(add_months(o_orderdate, 312), int(o_orderkey % 40))"
     quarter = "last_day(add_months(trunc(add_months(o_orderdate, 312), 'QUARTER'), 2))"
     text = lambda d: f"upper(date_format({d}, 'dd-MMM-yyyy'))"
-    orders, lines = t("orders"), t("lineitem")
-    filings = _with(orders, {
+    filings = lambda: _with(t("orders"), {
         "accession_number": "concat('A', o_orderkey)", "filing_date": text(day), "cik": "lpad(string(o_custkey), 10, '0')", "period_of_report": text(quarter), "is_amendment": "o_orderkey % 3 <> 0",
         "amendment_type": "CASE o_orderkey % 6 WHEN 1 THEN 'RESTATEMENT' WHEN 2 THEN 'NEW HOLDINGS' WHEN 4 THEN 'restatement ' WHEN 5 THEN 'OTHER' END", "filer_name": "concat('Filer ', o_custkey, ' v', o_orderkey % 3)", "crd_number": "string(o_custkey * 7)",
         "filer_city": "'London'", "filer_state_or_country": "CASE o_custkey % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'X0' ELSE 'ca' END", "filer_zipcode": "'10001'",
     })
-    holdings = _with(lines, {
+    holdings = lambda: _with(t("lineitem"), {
         "accession_number": "concat('A', l_orderkey)", "infotable_sk": "string(l_linenumber)", "name_of_issuer": "concat('Issuer ', l_partkey)", "title_of_class": "'COM'", "cusip": "lpad(string(l_partkey % 400), 9, '0')", "value": "bigint(round(l_extendedprice / CASE WHEN l_orderkey % 97 = 0 THEN 1000 ELSE 1 END))",
         "shares_or_principal_amount": "l_quantity", "shares_or_principal_type": "CASE WHEN l_linenumber = 6 THEN 'PRN' ELSE 'SH' END", "put_call": "CASE WHEN l_linenumber = 7 THEN 'PUT' END",
     })
-    summaries = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.expr("bigint(round(l_extendedprice / CASE WHEN l_orderkey % 97 = 0 THEN 1000 ELSE 1 END))")).alias("v")).where("l_orderkey % 41 <> 0").selectExpr(
+    summaries = lambda: t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.expr("bigint(round(l_extendedprice / CASE WHEN l_orderkey % 97 = 0 THEN 1000 ELSE 1 END))")).alias("v")).where("l_orderkey % 41 <> 0").selectExpr(
         "concat('A', l_orderkey) AS accession_number", "CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE n END AS declared_entry_total", "CASE WHEN l_orderkey % 29 = 0 THEN v + 1 ELSE v END AS declared_value_total"
     )
-    ownership = _with(orders.where("o_orderkey % 5 = 0"), {
+    ownership = lambda: _with(t("orders").where("o_orderkey % 5 = 0"), {
         "accession_number": "concat('G', o_orderkey)", "form_type": "CASE WHEN o_orderkey % 2 = 0 THEN 'SCHEDULE 13D' ELSE 'SCHEDULE 13G/A' END", "filing_intent": "CASE WHEN o_orderkey % 2 = 0 THEN 'ACTIVE' ELSE 'PASSIVE' END", "filing_date": f"date_format({day}, 'yyyy-MM-dd')", "event_date": "date_format(add_months(o_orderdate, 312), 'yyyy-MM-dd')",
         "issuer_cik": "lpad(string(o_custkey % 50), 10, '0')", "issuer_name": "concat('Issuer ', o_custkey % 50)", "issuer_cusip": "CASE WHEN o_orderkey % 3 = 0 THEN lpad(string(o_custkey % 50), 9, '0') END", "person_index": "int(o_orderkey % 3 + 1)", "reporting_person_cik": "CASE WHEN o_orderkey % 11 <> 0 THEN lpad(string(o_custkey), 10, '0') END",
         "reporting_person_name": "concat('Person ', o_custkey)", "reporting_person_type": "CASE WHEN o_custkey % 2 = 0 THEN 'IN' ELSE 'IA' END", "aggregate_shares": "double(o_orderkey * 10)", "percent_of_class": "CASE WHEN o_orderkey % 13 <> 0 THEN double(o_orderkey % 400) / 20 END",
     })
-    relationships = _with(t("part"), {
+    relationships = lambda: _with(t("part"), {
         "start_node_id": "concat('LEI', lpad(string(p_partkey), 15, '0'), '00')", "end_node_id": "concat('LEI', lpad(string(p_partkey DIV 7), 15, '0'), '00')", "relationship_type": "CASE p_partkey % 4 WHEN 0 THEN 'IS_DIRECTLY_CONSOLIDATED_BY' WHEN 1 THEN 'IS_FUND-MANAGED_BY' WHEN 2 THEN 'IS_SUBFUND_OF' ELSE 'IS_SPECIAL' END",
         "relationship_status": "CASE WHEN p_partkey % 9 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END", "start_date": "'2010-01-01'", "end_date": "CAST(NULL AS STRING)",
     })
-    exceptions = _with(t("part").where("p_partkey % 3 = 0"), {"lei": "concat('LEI', lpad(string(p_partkey), 15, '0'), '00')", "exception_category": "CASE WHEN p_partkey % 2 = 0 THEN 'DIRECT_ACCOUNTING_CONSOLIDATION_PARENT' ELSE 'ULTIMATE_ACCOUNTING_CONSOLIDATION_PARENT' END", "exception_reason": "CASE WHEN p_partkey % 5 = 0 THEN 'NATURAL_PERSONS' ELSE 'OTHER' END"})
-    isins = _with(lines.where("l_linenumber <= 2"), {"isin": "concat('US', lpad(string(l_orderkey), 9, '0'), string(l_linenumber))", "lei": "concat('LEI', lpad(string(l_partkey), 15, '0'), '00')"})
-    funds = _with(orders, {
+    exceptions = lambda: _with(t("part").where("p_partkey % 3 = 0"), {"lei": "concat('LEI', lpad(string(p_partkey), 15, '0'), '00')", "exception_category": "CASE WHEN p_partkey % 2 = 0 THEN 'DIRECT_ACCOUNTING_CONSOLIDATION_PARENT' ELSE 'ULTIMATE_ACCOUNTING_CONSOLIDATION_PARENT' END", "exception_reason": "CASE WHEN p_partkey % 5 = 0 THEN 'NATURAL_PERSONS' ELSE 'OTHER' END"})
+    isins = lambda: _with(t("lineitem").where("l_linenumber <= 2"), {"isin": "concat('US', lpad(string(l_orderkey), 9, '0'), string(l_linenumber))", "lei": "concat('LEI', lpad(string(l_partkey), 15, '0'), '00')"})
+    funds = lambda: _with(t("orders"), {
         "accession_number": "concat('N', o_orderkey)", "filing_date": text(day), "report_date": text(quarter), "cik": "lpad(string(o_custkey % 40), 10, '0')", "registrant_name": "concat('Trust ', o_custkey % 40)", "registrant_lei": "CASE WHEN o_custkey % 40 <> 7 THEN concat('T', o_custkey % 40) END",
         "series_id": "concat('S', o_custkey)", "series_name": "concat('Series ', o_custkey)", "series_lei": "CASE WHEN o_custkey % 3 <> 0 THEN concat('SL', o_custkey) END", "total_assets": "o_totalprice", "total_liabilities": "o_totalprice / 4", "net_assets": "o_totalprice * 3 / 4",
     })
-    fund_holdings = _with(lines, {
+    fund_holdings = lambda: _with(t("lineitem"), {
         "accession_number": "concat('N', l_orderkey)", "holding_id": "concat(l_orderkey, '-', l_linenumber)", "issuer_name": "concat('Issuer ', l_partkey)", "issuer_lei": "CASE WHEN l_partkey % 2 = 0 THEN concat('LEI', lpad(string(l_partkey), 15, '0'), '00') END", "issuer_title": "CAST(NULL AS STRING)", "issuer_cusip": "CASE WHEN l_partkey % 5 <> 0 THEN lpad(string(l_partkey % 400), 9, '0') END",
         "isin": "CAST(NULL AS STRING)", "balance": "l_quantity", "unit": "'NS'", "currency_code": "'USD'", "currency_value": "CASE WHEN l_linenumber <> 3 THEN l_extendedprice END", "percentage": "l_discount", "payoff_profile": "'Long'", "asset_category": "'EC'",
     })
-    series = _with(t("customer"), {"cik": "lpad(string(c_custkey % 40), 10, '0')", "entity_name": "concat('Trust ', c_custkey % 40)", "series_id": "CASE WHEN c_custkey % 17 = 0 THEN '' ELSE concat('S', c_custkey DIV 3) END", "series_name": "concat('Series ', c_custkey DIV 3)", "class_id": "CASE WHEN c_custkey % 19 <> 0 THEN concat('C', c_custkey) END", "class_name": "concat('Class ', c_custkey % 3)", "class_ticker": "CASE WHEN c_custkey % 4 <> 0 THEN concat('tk', c_custkey % 100) END"})
-    figi = _with(t("part"), {
+    series = lambda: _with(t("customer"), {"cik": "lpad(string(c_custkey % 40), 10, '0')", "entity_name": "concat('Trust ', c_custkey % 40)", "series_id": "CASE WHEN c_custkey % 17 = 0 THEN '' ELSE concat('S', c_custkey DIV 3) END", "series_name": "concat('Series ', c_custkey DIV 3)", "class_id": "CASE WHEN c_custkey % 19 <> 0 THEN concat('C', c_custkey) END", "class_name": "concat('Class ', c_custkey % 3)", "class_ticker": "CASE WHEN c_custkey % 4 <> 0 THEN concat('tk', c_custkey % 100) END"})
+    figi = lambda: _with(t("part"), {
         "cusip": "lpad(string(p_partkey % 400), 9, '0')", "mapping_rank": "int(p_partkey DIV 400 + 1)", "figi": "CASE WHEN p_partkey % 400 < 390 THEN concat('F', p_partkey) END", "name": "p_name", "ticker": "CASE WHEN p_partkey % 6 <> 0 THEN concat('t', p_partkey % 400) END", "exchange_code": "CASE WHEN p_partkey % 3 = 0 THEN 'US' ELSE 'LN' END", "market_sector": "'Equity'",
         "security_type": "'Common'", "security_type_2": "'Common'", "share_class_figi": "CASE WHEN p_partkey % 400 < 200 THEN concat('SC', p_partkey % 400) WHEN p_partkey % 400 < 300 THEN concat('SC', p_partkey % 800) END", "composite_figi": "CASE WHEN p_partkey % 2 = 0 THEN concat('CF', p_partkey % 1200) END", "error": "CASE WHEN p_partkey % 400 >= 390 THEN 'No identifier found.' END",
     })
-    xbrl = _with(t("events"), {
+    xbrl = lambda: _with(t("events"), {
         "cik": "lpad(string(user_id % 20), 10, '0')", "entity_name": "concat('Issuer ', user_id % 20)", "tag": "CASE event_type WHEN 'click' THEN 'Assets' WHEN 'view' THEN 'LiabilitiesAndStockholdersEquity' WHEN 'error' THEN 'AssetsCurrent' ELSE 'LiabilitiesCurrent' END", "unit": "'USD'", "period_start": "CAST(NULL AS STRING)",
         "period_end": "date_format(date_trunc('WEEK', ts), 'yyyy-MM-dd')", "fiscal_year": "2024L", "fiscal_period": "'Q1'", "form": "'10-Q'", "filed": "date_format(date_add(ts, int(event_id % 10)), 'yyyy-MM-dd')", "accession_number": "concat('X', lpad(string(event_id), 8, '0'))", "frame": "CAST(NULL AS STRING)", "value": "value",
     })
-    crosswalk = _with(t("customer"), {
+    crosswalk = lambda: _with(t("customer"), {
         "filer_name": "concat('Filer ', c_custkey)", "cik": "lpad(string(c_custkey), 10, '0')", "lei": "CASE WHEN c_custkey % 8 <> 0 THEN concat('LEI', lpad(string(c_custkey), 15, '0'), '00') END", "decision": "CASE WHEN c_custkey % 8 = 0 THEN 'UNMATCHED' WHEN c_custkey % 3 = 0 THEN 'REVIEW' ELSE 'AUTO_MATCH' END", "score": "double(100 + c_custkey % 150)",
         "gap": "CASE WHEN c_custkey % 4 <> 0 THEN double(c_custkey % 60) END", "reason": "CAST(NULL AS STRING)", "runner_up_lei": "CASE WHEN c_custkey % 4 <> 0 THEN concat('LEI', lpad(string(c_custkey + 1), 15, '0'), '00') END", "runner_up_score": "double(50)",
         "feature_contributions": "concat('{\"name_exact\":', 100 + c_custkey % 5, '.0,\"name_ratio\":', c_custkey % 40, '.5}')", "config_hash": "'abc'",
     })
-    reviews = t("orders").where("o_orderkey % 10 = 0").selectExpr("concat('cik:', lpad(string(o_custkey), 10, '0')) AS node_id", "concat('LEI', lpad(string(o_custkey), 15, '0'), '00') AS lei", "CASE o_orderkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'Rejected' ELSE 'UNSURE' END AS outcome", "concat('r', o_orderkey % 7) AS reviewer", "date_format(o_orderdate, 'yyyy-MM-dd') AS reviewed_at", "CASE WHEN o_orderkey % 4 = 0 THEN 'looked' END AS rationale", "int(o_orderkey) AS line_no")
+    reviews = lambda: t("orders").where("o_orderkey % 10 = 0").selectExpr("concat('cik:', lpad(string(o_custkey), 10, '0')) AS node_id", "concat('LEI', lpad(string(o_custkey), 15, '0'), '00') AS lei", "CASE o_orderkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'Rejected' ELSE 'UNSURE' END AS outcome", "concat('r', o_orderkey % 7) AS reviewer", "date_format(o_orderdate, 'yyyy-MM-dd') AS reviewed_at", "CASE WHEN o_orderkey % 4 = 0 THEN 'looked' END AS rationale", "int(o_orderkey) AS line_no")
     return Catalog(spark, tables={
-        "sec_13f_filings": filings, "sec_13f_holdings": holdings, "sec_13f_summaries": summaries, "sec_13dg_ownership": ownership, "gleif_entities": register(spark, sf_dir), "gleif_relationships": relationships, "gleif_relationship_exceptions": exceptions, "isin_lei": isins, "nport_funds": funds,
+        "sec_13f_filings": filings, "sec_13f_holdings": holdings, "sec_13f_summaries": summaries, "sec_13dg_ownership": ownership, "gleif_entities": lambda: register(spark, sf_dir), "gleif_relationships": relationships, "gleif_relationship_exceptions": exceptions, "isin_lei": isins, "nport_funds": funds,
         "nport_holdings": fund_holdings, "sec_series_classes": series, "openfigi_mappings": figi, "sec_xbrl_facts": xbrl, "crosswalk_sec_13f_gleif": crosswalk, "match_reviews": reviews,
     })
 

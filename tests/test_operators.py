@@ -320,3 +320,24 @@ def test_generations(spark, tmp_path):
         p.rollback("x")
     with pytest.raises(PublicationError, match="no such"):
         p.publish(c, build, only=["odd"])
+
+
+def test_facts_come_from_the_newest_row_that_has_a_value(spark):
+    from kinfold.catalog import Catalog
+    from kinfold.operators.graph import build_graph
+
+    columns = "accession_number string, transaction_id string, owner_cik string, issuer_cik string, shares double, price_per_share double, shares_following double, transaction_date string, source_file string, snapshot_date string, ingested_at string"
+    rows = [
+        ("A1", "t1", "7", "9", 100.0, 2.5, None, "2024-01-01", "a", "2024-01-01", "x"),
+        ("A1", "t1", "7", "9", 200.0, None, None, "2024-01-01", "b", "2024-02-01", "x"),
+        ("A1", "t1", "7", "9", 300.0, 4.0, None, "2024-01-01", "b", None, "x"),
+        ("A1", "t1", "8", "9", 5.0, None, 0.0001, "2024-01-01", "a", "2024-01-01", "x"),
+        ("A1", "t1", "8", "9", 5.0, None, 0.0001, "2024-01-01", "a", "2024-01-01", "x"),
+        ("A1", None, "8", "9", 5.0, None, None, "2024-01-01", "a", "2024-01-01", "x"),
+    ]
+    facts = build_graph(Catalog(spark, tables={"sec_insider_transactions": lambda: spark.createDataFrame(rows, columns)}))["facts"]
+    got = sorted((r["subject_node_id"], r["predicate"], r["value"], r["snapshot_date"]) for r in facts.collect())
+    assert got == [
+        ("owner-cik:7", "insider.price_per_share", "2.5", "2024-01-01"), ("owner-cik:7", "insider.transaction_shares", "200.0", "2024-02-01"),
+        ("owner-cik:8", "insider.shares_following", "0.0001", "2024-01-01"), ("owner-cik:8", "insider.transaction_shares", "5.0", "2024-01-01"),
+    ]
