@@ -48,6 +48,7 @@ class Classes(NamedTuple):
     starter: str  # marks and second halves that its NFC leaves where they are, as it knows an older Unicode
     lower: dict[int, str]  # lower cases that Python does not know
     odd: str  # all code points of which Python's modules know something else
+    hint: str  # those of the basic plane and all beyond it: few ranges, so a search is quick
 
 
 class Vocabulary(NamedTuple):
@@ -89,7 +90,7 @@ def library_classes() -> Classes:
     starter = {c for c, got in zip(every, each(normalizers.NFC(), "a", marks), strict=True) if got != unicodedata.normalize("NFC", "a" + c + marks)}
     starter |= {unicodedata.normalize("NFD", c)[-1] for c, got in zip(every, each(normalizers.NFD()), strict=True) if got != unicodedata.normalize("NFD", c)}
     odd = starter | set(map(chr, lower)) | (letter ^ set(regex.findall(r"\p{L}", text))) | (digit ^ set(regex.findall(r"\p{N}", text)))
-    return Classes(_inside(letter), _inside(digit), _inside(starter), lower, _inside(odd))
+    return Classes(_inside(letter), _inside(digit), _inside(starter), lower, _inside(odd), _inside({c for c in odd if c < "\U00010000"}) + r"\U00010000-\U0010ffff")
 
 
 def _byte_chars() -> list[str]:
@@ -196,7 +197,7 @@ class Encoder:
         self.vocab = vocab
         self.words = regex.compile(WORD_PATTERN.format(letter=r"\p{L}", digit=r"\p{N}", space=SPACE))
         self.exact_words = re.compile(WORD_PATTERN.format(letter=vocab.classes.letter, digit=vocab.classes.digit, space=SPACE))
-        self.odd, self.starter = re.compile(f"[{vocab.classes.odd}]"), re.compile(f"([{vocab.classes.starter}])")
+        self.hint, self.odd, self.starter = re.compile(f"[{vocab.classes.hint}]"), re.compile(f"[{vocab.classes.odd}]"), re.compile(f"([{vocab.classes.starter}])")
         self.ascii_words = re.compile(WORD_PATTERN.format(letter="a-z", digit="0-9", space=SPACE))
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) or r"(?!)")
         self.forget()
@@ -208,7 +209,7 @@ class Encoder:
     def _split(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
-        if self.odd.search(text):
+        if self.hint.search(text) and self.odd.search(text):
             text = "".join([unicodedata.normalize("NFC", part) for part in self.starter.split(text)])
             return self.exact_words.findall(text.translate(self.vocab.classes.lower).replace("Σ", "σ").lower())
         # one character at a time there is no final sigma, which str.lower() knows
