@@ -794,6 +794,90 @@ def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity_id", "identifier_total", size("identifiers").alias("identifiers_kept"), size("ciks").alias("n_ciks"), size("exceptions").alias("n_exceptions"), size("match_decisions").alias("n_decisions"), "successor_lei")
 
 
+# --- lookups and plain documents ---
+
+_LINES = "lpad(l_suppkey::VARCHAR, 10, '0') AS cik, lpad((l_partkey % 5)::VARCHAR, 9, '0') AS cusip, strftime(l_shipdate, '%Y-%m') AS period_date, round(l_extendedprice)::BIGINT AS value_usd, l_orderkey, l_linenumber"
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "lpad(string(l_suppkey), 10, '0') AS cik", "lpad(string(l_partkey % 5), 9, '0') AS cusip", "date_format(l_shipdate, 'yyyy-MM') AS period_date", "bigint(round(l_extendedprice)) AS value_usd", "CASE WHEN l_linenumber = 7 THEN 'PUT' END AS put_call", "l_orderkey", "l_linenumber"
+    )
+
+
+@query(f"SELECT l_orderkey, l_linenumber, period_date, value_usd FROM (SELECT {_LINES} FROM lineitem WHERE l_linenumber <> 7) WHERE cik = '0000000003' AND cusip = '000000002' QUALIFY dense_rank() OVER (ORDER BY period_date DESC) <= 4")
+def recent_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.recent_positions(_positions(spark, sf_dir), "0000000003", "000000002").select("l_orderkey", "l_linenumber", "period_date", "value_usd")
+
+
+@query(f"""
+WITH h AS (SELECT * FROM (SELECT {_LINES} FROM lineitem) WHERE cusip = '000000004' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period_date DESC, value_usd DESC) = 1)
+SELECT h.cik, period_date, value_usd, s_name AS filer_name FROM h LEFT JOIN supplier ON h.cik = lpad(s_suppkey::VARCHAR, 10, '0') ORDER BY value_usd DESC, h.cik LIMIT 25
+""")
+def cusip_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filers = table(spark, sf_dir, "supplier").selectExpr("lpad(string(s_suppkey), 10, '0') AS cik", "s_name AS filer_name", "CAST(NULL AS STRING) AS lei")
+    found = reads.search_entities("000000004", "cusip", None, _positions(spark, sf_dir), filers, size=25)
+    return found.select("cik", "period_date", "value_usd", "filer_name")
+
+
+@query("SELECT lei, legal_name, jurisdiction FROM register WHERE lei = 'LEI00000000000000700'")
+def search_by_lei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.search_entities(" lei00000000000000700", "lei", register(spark, sf_dir))
+
+
+@query("""
+WITH f AS (SELECT lei, count(*) AS n, min(cik) AS first_cik FROM crosswalk WHERE lei IS NOT NULL GROUP BY lei), u AS (SELECT series_lei, count(*) AS n FROM funds WHERE series_lei IS NOT NULL GROUP BY series_lei)
+SELECT r.lei AS entity_id, f.n AS n_filings, first_cik, u.n AS n_fund_reports FROM register r LEFT JOIN f ON r.lei = f.lei LEFT JOIN u ON r.lei = u.series_lei
+""")
+def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    documents = c["gleif_entities"].select(F.col("lei").alias("entity_id"), "legal_name")
+    out = reads.entity_profile(documents, c["crosswalk_sec_13f_gleif"].select("cik", "lei"), c["nport_funds"].select("series_lei", "accession_number"))
+    size = lambda n: F.when(F.col(n).isNotNull(), F.size(n).cast("long"))
+    return out.select("entity_id", size("filings").alias("n_filings"), F.get_json_object(F.try_element_at("filings", F.lit(1)), "$.cik").alias("first_cik"), size("fund").alias("n_fund_reports"))
+
+
+@query("""
+WITH leis AS (SELECT series_id, arg_max(series_lei, report) AS series_lei, arg_max(registrant_lei, report) AS registrant_lei FROM funds GROUP BY series_id),
+reg AS (SELECT s.cik, min(l.registrant_lei) AS registrant_lei FROM series s JOIN leis l ON s.series_id = l.series_id WHERE l.registrant_lei IS NOT NULL GROUP BY s.cik),
+d AS (SELECT s.series_id, min(s.cik) AS cik, min(l.series_lei) AS series_lei, min(r.registrant_lei) AS registrant_lei, bool_or(s.class_id = 'C35') AS class, bool_or(upper(s.ticker) = 'TK7') AS ticker FROM series s LEFT JOIN leis l ON s.series_id = l.series_id LEFT JOIN reg r ON s.cik = r.cik WHERE s.series_id <> '' GROUP BY s.series_id)
+SELECT 'lei' AS given, series_id, cik FROM d WHERE series_lei = 'SL5' OR registrant_lei = 'SL5' UNION ALL SELECT 'cik', series_id, cik FROM d WHERE cik = '0000000009' UNION ALL SELECT 'series', series_id, cik FROM d WHERE series_id = 'S12'
+UNION ALL SELECT 'class', series_id, cik FROM d WHERE class UNION ALL SELECT 'ticker', series_id, cik FROM d WHERE ticker
+""")
+def fund_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = serving.fund_series_documents(catalog(spark, sf_dir))
+    asked = {"lei": {"lei": "SL5"}, "cik": {"cik": "0000000009"}, "series": {"series_id": "S12"}, "class": {"class_id": "C35"}, "ticker": {"ticker": "tk7"}}
+    return relational.union_by_name([reads.fund_structure(series, **by).select(F.lit(given).alias("given"), "series_id", "cik") for given, by in asked.items()])
+
+
+@query("""
+WITH g AS (SELECT cusip, list(DISTINCT upper(ticker)) AS tickers, list(DISTINCT k) AS keys, list(DISTINCT composite) AS composites FROM (SELECT cusip, k, coalesce(min(ticker) FILTER (WHERE exchange = 'US'), min(ticker)) AS ticker FROM listed GROUP BY ALL) JOIN (SELECT cusip, k, composite FROM listed) USING (cusip, k) GROUP BY cusip)
+SELECT 'cusip' AS given, cusip FROM (SELECT DISTINCT cusip FROM figi) WHERE cusip = '000000395' UNION ALL SELECT 'ticker', cusip FROM g WHERE list_contains(tickers, 'T17') UNION ALL SELECT 'figi', cusip FROM g WHERE list_contains(keys, 'SC42') OR list_contains(composites, 'SC42')
+""")
+def security_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = serving.security_documents(catalog(spark, sf_dir))
+    asked = {"cusip": "000000395", "ticker": "t17", "figi": "SC42"}
+    return relational.union_by_name([reads.security(found, **{by: value}).select(F.lit(by).alias("given"), "cusip") for by, value in asked.items()])
+
+
+@query("SELECT s AS start_node_id, e AS end_node_id, t AS relationship_type, status AS relationship_status FROM relationships")
+def relationship_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.BUILDERS["relationships"](catalog(spark, sf_dir)).select("start_node_id", "end_node_id", "relationship_type", "relationship_status")
+
+
+@query("SELECT accession_number, person_index::INT AS person_index, issuer_cik, person_cik AS reporting_person_cik, pct AS percent_of_class FROM ownership")
+def ownership_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.BUILDERS["ownership"](catalog(spark, sf_dir)).select("accession_number", "person_index", "issuer_cik", "reporting_person_cik", "percent_of_class")
+
+
+@query("SELECT 'uk-company: r' || p_partkey || ' ' AS start_node_id, 'lei:' || lei AS end_node_id, ' r' || p_partkey || ' :' || lei AS source_record_ref FROM register WHERE p_partkey % 12 = 0 AND jurisdiction LIKE 'GB%'")
+def company_register_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    companies = table(spark, sf_dir, "part").where("p_partkey % 12 = 0").selectExpr("concat(' r', p_partkey, ' ') AS company_number", "p_name AS company_name", "'active' AS company_status", "'ch.zip' AS source_file", "'2024-06-30' AS snapshot_date", "'2024-07-01' AS ingested_at")
+    edges = graph.build_graph(type(c)(spark, tables={"gleif_entities": c["gleif_entities"], "companies_house_companies": companies}))["edges"]
+    return edges.where("source = 'gleif_registration_id'").select("start_node_id", "end_node_id", "source_record_ref")
+
+
 # --- reads ---
 
 
