@@ -76,3 +76,17 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents(spark, sf_dir, tmp_path, clash):
+    """Null ids, null and empty texts, repeated rows and clashing names: nothing clean is lost, repeats under one id stay."""
+    lines = ["\n".join(" ".join(f"w{seed}x{k}y{i}" for i in range(12)) for k in range(8)) for seed in range(4)]
+    rows = [(1, lines[0]), (1, lines[0]), (2, None), (3, ""), (None, lines[1]), (None, None), (4, lines[2]), (5, lines[3]), (6, lines[3].replace("\n", " ").replace("y3", "y3 z", 1)), (7, "word " * 20_000)]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = sorted(((r["doc_id"] or 0), r["n_tokens"] > 0) for r in C.run(spark, str(tmp_path)).collect())
+    ids = [i for i, _ in got]
+    assert {0, 1, 2, 3, 4, 5, 7} <= set(ids) and got.count((0, True)) == 1 and (2, False) in got and (3, False) in got
+    assert 6 not in ids  # a near copy of 5 on one line, which line_dedup cannot see

@@ -101,3 +101,43 @@ def test_sample_is_bounded_in_bytes_and_rows(spark):
     assert model.bias == T.train(["x", "y", "z", "w"], np.array([1, 0, 1, 0])).bias
     named = docs.withColumnRenamed("toxicity", "text").withColumn("toxicity", docs["doc_id"])
     assert T.score_toxicity(named, model).columns == ["doc_id", "text", "toxicity"] and T.score_toxicity(named, model).schema["toxicity"].dataType.simpleString() == "double"
+
+
+def plain_scores(train, test):
+    """Another trainer: n-grams as strings in sets, a dense matrix, and Newton steps to the optimum."""
+    grams = lambda t: {f[i : i + n] for f in [f" {' '.join(t.lower().split())} "] for n in T.SIZES for i in range(len(f) - n + 1)}
+    sets, y = [grams(t) for t, _ in train], np.array([label for _, label in train])
+    seen = {g: [0, 0] for s in sets for g in s}
+    for s, label in zip(sets, y, strict=True):
+        for g in s:
+            seen[g][label] += 1
+    totals = np.bincount(y, minlength=2) + 2 * T.SMOOTH
+    ratios = {}
+    for g, (no, yes) in seen.items():
+        r = np.log((yes + T.SMOOTH) / totals[1]) - np.log((no + T.SMOOTH) / totals[0])
+        if no + yes >= T.LEAST_TEXTS and abs(r) >= T.LEAST_Z * np.sqrt(1 / (yes + T.SMOOTH) + 1 / (no + T.SMOOTH)):
+            ratios[g] = r
+    matrix = lambda gs: np.array([[1.0, *[r if g in s else 0.0 for g, r in ratios.items()]] for s in gs])
+    x, w = matrix(sets), np.zeros(len(ratios) + 1)
+    penalty = np.r_[0.0, np.full(len(ratios), T.PENALTY)]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) / len(y) + penalty * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(penalty)
+        w = w - np.linalg.solve(curve + 1e-12 * np.eye(len(w)), slope)
+    return 1 / (1 + np.exp(-matrix([grams(t) for t, _ in test]) @ w)), len(ratios)
+
+
+def test_agrees_with_another_trainer():
+    train, test = texts(600, 5), texts(300, 6)
+    model = T.train([t for t, _ in train], np.array([y for _, y in train]))
+    got = T.score(model, [t for t, _ in test], model.weights != 0)
+    want, n_features = plain_scores(train, test)
+    assert n_features > 20 and abs(n_features - (model.weights != 0).sum()) <= 0.05 * n_features
+    assert np.abs(got - want).max() < 0.05 and ((got >= 0.5) == (want >= 0.5)).mean() > 0.99
+
+
+def test_score_column_of_the_input_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "a moron", "old"), (2, None, None)], "doc_id long, text string, toxicity string")
+    model = T.Model(0.0, np.zeros(T.BUCKETS))
+    assert [(r["doc_id"], r["toxicity"]) for r in T.score_toxicity(docs, model).collect()] == [(1, 0.5), (2, 0.5)]
