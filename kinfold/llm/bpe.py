@@ -37,6 +37,8 @@ LONG_WORD = 256
 #: The vocabulary's own word pattern, its classes left open, and its white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points asked about at once.
+POINTS = 1 << 13
 NO_RANK = np.int64(1 << 62)
 
 
@@ -64,33 +66,44 @@ class Vocabulary(NamedTuple):
     classes: Classes
 
 
-def _inside(chars: set[str]) -> str:
-    """The inside of a class of these characters, by ranges; an empty set gives a surrogate, which no text has."""
-    points = np.array(sorted(map(ord, chars)) or [0xD800])
+def _inside(known: np.ndarray) -> str:
+    """The inside of a class of the code points that known marks, by ranges; none at all gives a surrogate, which no text has."""
+    points = np.flatnonzero(known) if known.any() else np.array([0xD800])
     cut = np.flatnonzero(np.diff(points) != 1)
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[np.r_[0, cut + 1]].tolist(), points[np.r_[cut, len(points) - 1]].tolist(), strict=True))
 
 
 def library_classes() -> Classes:
+    """Asked in blocks of code points, as the library keeps an alignment of every character that it is given."""
     from tokenizers import Regex, normalizers, pre_tokenizers
 
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != ord("\n")]
-    text = "".join(every)
-
-    def of_class(pattern: str) -> set[str]:
-        return set("".join([run for run, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)]))
-
-    def each(normalizer: normalizers.Normalizer, before: str = "", after: str = "") -> list[str]:
-        return normalizer.normalize_str("\n".join([before + c + after for c in every])).split("\n")
-
-    letter, digit = of_class(r"\p{L}"), of_class(r"\p{N}")
-    lower = {ord(c): low for c, low in zip(every, each(normalizers.Lowercase()), strict=True) if low != c.replace("Σ", "σ").lower()}
-    # a mark between a letter and two others changes their order or bars their composition
-    marks = "\u0327\u0301"
-    starter = {c for c, got in zip(every, each(normalizers.NFC(), "a", marks), strict=True) if got != unicodedata.normalize("NFC", "a" + c + marks)}
-    starter |= {unicodedata.normalize("NFD", c)[-1] for c, got in zip(every, each(normalizers.NFD()), strict=True) if got != unicodedata.normalize("NFD", c)}
-    odd = starter | set(map(chr, lower)) | (letter ^ set(regex.findall(r"\p{L}", text))) | (digit ^ set(regex.findall(r"\p{N}", text)))
-    return Classes(_inside(letter), _inside(digit), _inside(starter), lower, _inside(odd), _inside({c for c in odd if c < "\U00010000"}) + r"\U00010000-\U0010ffff")
+    letter, digit, starter, odd = (np.zeros(0x110000, bool) for _ in range(4))
+    lower: dict[int, str] = {}
+    kinds = [(known, pre_tokenizers.Split(Regex(p), "removed", invert=True), regex.compile(p)) for known, p in ((letter, r"\p{L}"), (digit, r"\p{N}"))]
+    nfc, nfd, low = normalizers.NFC(), normalizers.NFD(), normalizers.Lowercase()
+    marks = "\u0327\u0301"  # a mark between a letter and these changes their order or bars their composition
+
+    def each(normalizer: normalizers.Normalizer, texts: list[str]) -> list[str]:
+        return normalizer.normalize_str("\n".join(texts)).split("\n")
+
+    for start in range(0, 0x110000, POINTS):
+        chars = [chr(c) for c in range(start, start + POINTS) if not 0xD800 <= c < 0xE000 and c != ord("\n")]
+        if not chars:
+            continue
+        text = "".join(chars)
+        for known, split, ours in kinds:
+            mine = np.zeros(POINTS, bool)
+            mine[[ord(c) - start for c in ours.findall(text)]] = True
+            known[[ord(c) for run, _ in split.pre_tokenize_str(text) for c in run]] = True
+            odd[start : start + POINTS] |= mine != known[start : start + POINTS]
+        lower |= {ord(c): got for c, got in zip(chars, each(low, chars), strict=True) if got != c.replace("Σ", "σ").lower()}
+        framed = ["a" + c + marks for c in chars]
+        starter[[ord(c) for c, f, got in zip(chars, framed, each(nfc, framed), strict=True) if got != unicodedata.normalize("NFC", f)]] = True
+        starter[[ord(unicodedata.normalize("NFD", c)[-1]) for c, got in zip(chars, each(nfd, chars), strict=True) if got != unicodedata.normalize("NFD", c)]] = True
+    odd |= starter
+    odd[list(lower)] = True
+    hint = odd[:0x10000].copy()
+    return Classes(_inside(letter), _inside(digit), _inside(starter), lower, _inside(odd), _inside(hint) + r"\U00010000-\U0010ffff")
 
 
 def _byte_chars() -> list[str]:
