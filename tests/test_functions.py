@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -102,6 +103,25 @@ def test_token_set_ratio_equals_the_definition(spark):
     assert got[-2] == pytest.approx(0.8387, abs=1e-4) and got[-1] == 1.0
 
 
+def test_token_set_ratio_of_long_names(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdé𝒳") for _ in range(rnd.randint(1, 9)))
+    pairs = [(" ".join(word() for _ in range(m)), " ".join(word() for _ in range(n))) for m in (8, 20, 50) for n in (9, 22, 40)]
+    pairs += [("a" * m, "a" * n + "b") for m in (59, 60, 61, 120, 121) for n in (59, 60, 61, 119, 121)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r[0] for r in df.select("i", token_set_ratio("a", "b").alias("r")).orderBy("i").select("r").collect()]
+    assert got == pytest.approx([slow_ratio(*p) for p in pairs])
+
+
+def test_token_set_ratio_copies_no_rows_of_the_table(spark):
+    """A row of the table was copied for each of its cells, so the time grew with the cube of the lengths."""
+    a, b = "ab" * 1250, "ba" * 1250
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    began = time.perf_counter()
+    assert df.select(token_set_ratio("a", "b")).first()[0] == pytest.approx(1 - 2 / 5000)
+    assert time.perf_counter() - began < 40
+
+
 @given(st.lists(st.tuples(st.text("ab ", max_size=8), st.text("ab ", max_size=8)), min_size=1, max_size=20))
 @settings(max_examples=5, deadline=None)
 def test_token_set_ratio_is_symmetric(spark, pairs):
