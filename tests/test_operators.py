@@ -116,6 +116,33 @@ def test_common_words_count_in_retrieval(spark):
     assert {k: v[1] for k, v in found.items()} == pytest.approx(weights)
 
 
+def test_copies_of_names_are_searched_once(spark):
+    """Each copy of a name had postings of its own, and each query made a row for each of them."""
+    some = ["Oak Elm Trust", "Oak Harbour Ltd", "Elm Harbour Trust Ltd", "Birch"]
+    copies = [(f"L{i:03}", some[i % 4], None, ["GB", "KY", None][i % 3]) for i in range(240)]
+    register = make_register(spark, copies)
+    index = matching.build_index(register)
+    assert index.count() == matching.build_index(make_register(spark, copies[:4])).count()
+    asked = [(f"q{i}", ["oak elm", "Harbour Ltd", "oakelmtrust", "zeta"][i % 4], ["GB", None, "KY"][i % 3], None, None, None) for i in range(24)]
+    weights = {}
+    for r in index.collect():
+        weights.setdefault(r["lei"], []).append((r["token"], r["weight"]))
+    for mode in ("soft", "strict"):
+        got = {}
+        for r in matching.search(ask(spark, asked), register, index, 13, mode).collect():
+            got.setdefault(r["query_id"], {})[r["retrieval_rank"]] = (r["lei"], r["retrieval_score"], r["legal_name"])
+        for key, name, country, *_ in asked:
+            scores = []
+            for i, (lei, found, _, where) in enumerate(copies):
+                hit = sum(w for t, w in weights[copies[i % 4][0]] if t in name.lower().split())
+                hit += 4 * (name.lower().replace(" ", "") == found.lower().replace(" ", ""))
+                if not hit or mode == "strict" and country and where != country:
+                    continue
+                scores.append((-round(hit if mode == "strict" or not country else hit + 8 if where == country else hit * 0.3, 9), lei, found))
+            best = [(lei, pytest.approx(-score), found) for score, lei, found in sorted(scores)[:13]]
+            assert [x for _, x in sorted(got.get(key, {}).items())] == best
+
+
 def test_fingerprint_follows_every_value():
     from dataclasses import replace
 
