@@ -143,6 +143,17 @@ def test_copies_of_names_are_searched_once(spark):
             assert [x for _, x in sorted(got.get(key, {}).items())] == best
 
 
+def test_register_is_not_broadcast(spark, sf_dir):
+    """Its file is small beside the names made from it, which filled the driver."""
+    from kinfold.plans.base import register as of
+
+    asked = ask(spark, [("q", "hot bolt", "GB", None, None, None)])
+    register = of(spark, sf_dir)
+    plan = matching.search(asked, register, matching.build_index(register))._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in last and "lei" in last
+
+
 def test_fingerprint_follows_every_value():
     from dataclasses import replace
 
