@@ -379,3 +379,49 @@ def test_facts_come_from_the_newest_row_that_has_a_value(spark):
         ("owner-cik:7", "insider.price_per_share", "2.5", "2024-01-01"), ("owner-cik:7", "insider.transaction_shares", "200.0", "2024-02-01"),
         ("owner-cik:8", "insider.shares_following", "0.0001", "2024-01-01"), ("owner-cik:8", "insider.transaction_shares", "5.0", "2024-01-01"),
     ]
+
+
+# --- work done once ---
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ratio_of_two_names_is_computed_once(spark):
+    """Each pair of a query and a candidate had its ratio computed, in as few tasks as the rows' size asked for."""
+    some = ["Oak Elm Trust", "Oak Elm Trust II", "Ashen Harbour & Söhne GmbH", None, ""]
+    register = make_register(spark, [(f"L{i:02}", some[i % 5]) for i in range(20)])
+    asked = ask(spark, [(f"q{i}", ["oak elms trust", "Harbour", None][i % 3], None, None, None, None) for i in range(6)])
+    pairs = asked.crossJoin(register.withColumn("legal_name_norm", F.when(F.col("lei") != "L00", F.col("legal_name_norm"))))
+    got = matching.score(pairs)
+    assert "bit_count" not in optimized(got) and got.count() == 120
+    plain = pairs.select("query_id", "lei", matching.token_set_ratio("q_name_norm", "legal_name_norm").alias("name_ratio"))
+    assert sorted(got.select(plain.columns).collect()) == sorted(plain.collect())
+
+
+def test_crosswalk_reads_its_filings_once(spark):
+    """The latest filing of each filer was found anew for every use of the queries."""
+    register = make_register(spark, [("L1", "North Rock Capital LLP", "GB", "GB"), ("L2", "Beta Ltd", "GB", "GB")])
+    rows = [("1", "A1", "01-JAN-2020", "Old Name", "7", "London", "X0", "10001"), ("1", "A2", "02-JAN-2020", "North Rock Capital LLP", "7", "London", "X0", "10001"), ("2", "A3", "01-JAN-2020", "Zeta", None, None, "NY", None)]
+    filings = frame(spark, rows, "cik string, accession_number string, filing_date string, filer_name string, crd_number string, filer_city string, filer_state_or_country string, filer_zipcode string")
+    filings = filings.withColumns({c: F.lit("x") for c in ("source_file", "snapshot_date", "ingested_at")})
+    out = matching.crosswalk(filings, register)
+    assert "filing_date" not in optimized(out)
+    assert {(r["cik"], r["filer_name"], r["decision"], r["lei"]) for r in out.collect()} == {("1", "North Rock Capital LLP", "AUTO_MATCH", "L1"), ("2", "Zeta", "UNMATCHED", None)}
+
+
+def test_name_fields_made_in_steps(spark):
+    from kinfold.functions import names
+
+    df = frame(spark, [(n,) for n in ("Alpha Fund III LP", "Ærø & Söhne GmbH", "Ltd", "", None, "Łódź Master (Feeder) 12 plc", "株式会社 Oak")], "n string")
+    assert names.with_name_fields(df, "n").collect() == df.withColumns(names.name_fields("n")).collect()
+
+
+def test_stored_register_is_made_by_all_tasks(spark, sf_dir):
+    from kinfold.operators.relational import tasks
+    from kinfold.plans.base import register, stored_register
+
+    got = stored_register(spark, sf_dir)
+    assert got.rdd.getNumPartitions() == tasks(got) and "regexp" not in optimized(got)
+    assert sorted(got.collect()) == sorted(register(spark, sf_dir).select(got.columns).collect())
