@@ -11,7 +11,7 @@ from kinfold.config import Benchmark
 from kinfold.functions import names
 from kinfold.functions.places import is_isin, is_lei
 
-from .relational import null_rates, sample, sample_per_group, surplus_rows, text_hash, union_by_name
+from .relational import cut_lineage, null_rates, sample, sample_per_group, surplus_rows, text_hash, union_by_name
 
 
 def positives(register: DataFrame, isins: DataFrame) -> DataFrame:
@@ -53,6 +53,7 @@ def evaluation_pairs(found: DataFrame, hard: DataFrame, cfg: Benchmark | None =
     Samples follow hashes of the keys, so they are the same on every run.
     """
     cfg = cfg or Benchmark()
+    found = cut_lineage(found)  # read again for the number of jurisdictions, by both samples and by the rows
     n = max(1, found.select("jurisdiction").distinct().count())
     capped = sample_per_group(found, "jurisdiction", "lei", max(1, cfg.sample_size // n), cfg.seed).select("lei").withColumn("first", F.lit(0))
     rest = found.join(capped, "lei", "left_anti").select("lei").withColumn("first", F.lit(1))
@@ -153,9 +154,10 @@ def run_benchmark(pairs: DataFrame, register: DataFrame, cfg=None, country_mode:
     from . import matching
 
     cfg = cfg or Matching()
-    asked = matching.build_queries(pairs, "query_name", "query_country", key="pair_id")
+    pairs = cut_lineage(pairs)
+    asked = cut_lineage(matching.build_queries(pairs, "query_name", "query_country", key="pair_id"))
     found = matching.search(asked, register, matching.build_index(register), cfg.candidate_pool_size, country_mode).join(asked, "query_id")
-    scored = matching.score(found, cfg)
+    scored = cut_lineage(matching.score(found, cfg))
     ranked = scored.groupBy("query_id").agg(nested_list([*descending("score"), F.col("retrieval_rank")], F.col("lei")).alias("ranked"))
     decided = matching.decide(scored, cfg).select("query_id", "decision", F.col("lei").alias("chosen"))
     out = pairs.withColumnRenamed("pair_id", "query_id").join(ranked, "query_id", "left").join(decided, "query_id", "left")

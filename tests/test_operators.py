@@ -425,3 +425,21 @@ def test_stored_register_is_made_by_all_tasks(spark, sf_dir):
     got = stored_register(spark, sf_dir)
     assert got.rdd.getNumPartitions() == tasks(got) and "regexp" not in optimized(got)
     assert sorted(got.collect()) == sorted(register(spark, sf_dir).select(got.columns).collect())
+
+
+@pytest.mark.parametrize("name", ["benchmark_run"])
+def test_names_of_the_register_are_made_once(spark, sf_dir, name):
+    """What the query returns was made from the raw names, again for each use of queries, pairs or members."""
+    from kinfold.plans.queries import QUERIES
+
+    assert "initcap" not in optimized(QUERIES[name](spark, sf_dir))
+
+
+def test_pairs_are_found_once(spark):
+    """Positives were joined anew for each sample, evaluation pairs for each use of them."""
+    register = make_register(spark, [(f"L{i}", n, "GB", "GB") for i, n in enumerate(["Oak Elm Capital LLP", "Oak Elm Fund II", "Oak Elm Fund III", "Oak Elm Fund III", "Gamma Holdings"])]).withColumn("entity_status", F.lit("ACTIVE"))
+    isins = frame(spark, [(f"I{i}", f"L{i % 4}") for i in range(6)], "isin string, lei string").withColumn("isin", F.initcap("isin"))
+    pairs = evaluation.evaluation_pairs(evaluation.positives(register, isins), evaluation.confusable_pairs(register))
+    assert "initcap" not in optimized(pairs) and pairs.where("source = 'positives'").count() == 4
+    asked = pairs.withColumn("query_name", F.initcap("query_name"))
+    assert "initcap" not in optimized(evaluation.run_benchmark(asked, register))
