@@ -427,7 +427,7 @@ def test_stored_register_is_made_by_all_tasks(spark, sf_dir):
     assert sorted(got.collect()) == sorted(register(spark, sf_dir).select(got.columns).collect())
 
 
-@pytest.mark.parametrize("name", ["benchmark_run"])
+@pytest.mark.parametrize("name", ["benchmark_run", "family_pool"])
 def test_names_of_the_register_are_made_once(spark, sf_dir, name):
     """What the query returns was made from the raw names, again for each use of queries, pairs or members."""
     from kinfold.plans.queries import QUERIES
@@ -435,11 +435,17 @@ def test_names_of_the_register_are_made_once(spark, sf_dir, name):
     assert "initcap" not in optimized(QUERIES[name](spark, sf_dir))
 
 
-def test_pairs_are_found_once(spark):
-    """Positives were joined anew for each sample, evaluation pairs for each use of them."""
+def test_pairs_and_members_are_found_once(spark):
+    """Positives were joined anew for each sample, evaluation pairs and the family's pool for each use of them."""
     register = make_register(spark, [(f"L{i}", n, "GB", "GB") for i, n in enumerate(["Oak Elm Capital LLP", "Oak Elm Fund II", "Oak Elm Fund III", "Oak Elm Fund III", "Gamma Holdings"])]).withColumn("entity_status", F.lit("ACTIVE"))
     isins = frame(spark, [(f"I{i}", f"L{i % 4}") for i in range(6)], "isin string, lei string").withColumn("isin", F.initcap("isin"))
     pairs = evaluation.evaluation_pairs(evaluation.positives(register, isins), evaluation.confusable_pairs(register))
     assert "initcap" not in optimized(pairs) and pairs.where("source = 'positives'").count() == 4
     asked = pairs.withColumn("query_name", F.initcap("query_name"))
     assert "initcap" not in optimized(evaluation.run_benchmark(asked, register))
+    tied = frame(spark, [("L0", "L2", "IS_FUND-MANAGED_BY", "ACTIVE"), ("L0", "L4", "IS_FUND-MANAGED_BY", "ACTIVE")], "start_node_id string, end_node_id string, relationship_type string, relationship_status string")
+    members = family.discover_family(frame(spark, [("a", "oak elm"), ("b", "Oak Elm Capital")], "query_id string, name string").withColumn("name", F.initcap("name")), register, tied)
+    assert "initcap" not in optimized(members)
+    want = {("L0", "high", True), ("L1", "possible", False), ("L2", "possible", True), ("L3", "possible", False)}
+    got = members.collect()
+    assert {q: {(r["lei"], r["tier"], r["graph_confirmed"]) for r in got if r["query_id"] == q} for q in "ab"} == {"a": want, "b": want} and len(got) == 8
