@@ -427,7 +427,7 @@ def test_stored_register_is_made_by_all_tasks(spark, sf_dir):
     assert sorted(got.collect()) == sorted(register(spark, sf_dir).select(got.columns).collect())
 
 
-@pytest.mark.parametrize("name", ["benchmark_run", "family_pool", "match_batch"])
+@pytest.mark.parametrize("name", ["benchmark_run", "family_pool", "match_batch", "match_features"])
 def test_names_of_the_register_are_made_once(spark, sf_dir, name):
     """What the query returns was made from the raw names, again for each use of queries, pairs or members."""
     from kinfold.plans.queries import QUERIES
