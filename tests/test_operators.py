@@ -143,6 +143,40 @@ def test_copies_of_names_are_searched_once(spark):
             assert [x for _, x in sorted(got.get(key, {}).items())] == best
 
 
+def most_rows(plan):
+    """The most rows that a join or aggregate of an executed plan put out."""
+    name, metric = plan.nodeName(), plan.metrics().get("numOutputRows")
+    kids = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = metric.get().value() if metric.isDefined() and ("Join" in name or "Aggregate" in name) else 0
+    return max([own, *map(most_rows, kids)])
+
+
+@pytest.mark.parametrize("mode", ["soft", "strict"])
+def test_names_alike_in_common_words_are_compared_once(spark, mode):
+    """Where all names differ, each query was joined to every name that shares a word with it."""
+    rows = [(f"L{i:03}", ["Oak Elm Trust w{}", "Oak Harbour w{} Ltd", "Elm Trust w{}"][i % 3].format(i // 2 if i > 380 else i), None, ["GB", "KY", None][i % 4 % 3]) for i in range(400)]
+    register = make_register(spark, rows)
+    asked = [(f"q{i}", f"{['Oak Elm', 'Harbour Oak Ltd', 'Elm', 'Birch'][i % 4]} w{i * 9}", ["GB", None, "KY"][i % 3], None, None, None) for i in range(44)]
+    asked += [("exact", "oakelmtrustw3", None, None, None, None), ("rare", "w385 w7 w192", "KY", None, None, None)]
+    index = matching.build_index(register)
+    found = matching.search(ask(spark, asked), register, index, 7, mode)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["retrieval_rank"]] = (r["lei"], r["retrieval_score"])
+    weights = {}
+    for r in index.collect():
+        weights.setdefault(r["lei"], []).append((r["token"], r["weight"]))
+    same = {r["legal_name_norm"]: r["lei"] for r in register.orderBy(F.col("lei").desc()).collect()}
+    for key, name, country, *_ in asked:
+        scores = []
+        for lei, raw, _, where in rows:
+            hit = sum(w for t, w in weights[same[raw.lower()]] if t in name.lower().split()) + 4 * (name.lower().replace(" ", "") == raw.lower().replace(" ", ""))
+            if hit and not (mode == "strict" and country and where != country):
+                scores.append((-round(hit if mode == "strict" or not country else hit + 8 if where == country else hit * 0.3, 9), lei))
+        assert [x for _, x in sorted(got.get(key, {}).items())] == [(lei, pytest.approx(-score)) for score, lei in sorted(scores)[:7]]
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 2_000  # 14,524 when each query met each name that shares a word
+
+
 def test_register_is_not_broadcast(spark, sf_dir):
     """Its file is small beside the names made from it, which filled the driver."""
     from kinfold.plans.base import register as of
