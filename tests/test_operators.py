@@ -177,6 +177,28 @@ def test_names_alike_in_common_words_are_compared_once(spark, mode):
     assert most_rows(found._jdf.queryExecution().executedPlan()) < 2_000  # 14,524 when each query met each name that shares a word
 
 
+def test_match_features_where_names_differ(spark, sf_dir, tmp_path, monkeypatch):
+    """Each query met every name that shares a word with it; the result is that of the SQL."""
+    from kinfold.plans.queries import ORACLES, QUERIES
+
+    from .oracle import TABLES, duck_rows, spark_rows
+
+    for t in TABLES:
+        if t != "part":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").limit(1)
+    part = spark.range(600).crossJoin(part).selectExpr("id AS p_partkey", "concat('old ring n', id) AS p_name", *[c for c in part.columns if c not in ("p_partkey", "p_name")])
+    part.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "part.parquet")
+    pairs, score = [], matching.score
+    monkeypatch.setattr(matching, "score", lambda found, *more: pairs.append(found) or score(found, *more))
+    got = spark_rows(QUERIES["match_features"](spark, str(tmp_path)))
+    assert got == duck_rows(ORACLES["match_features"], str(tmp_path)) and len(got[1]) == 150
+    assert pairs[0].count() == 150
+    pairs[0].collect()
+    assert most_rows(pairs[0]._jdf.queryExecution().executedPlan()) < 4_000  # each of 30 queries met each of 600 names
+
+
 def test_register_is_not_broadcast(spark, sf_dir):
     """Its file is small beside the names made from it, which filled the driver."""
     from kinfold.plans.base import register as of
